@@ -236,8 +236,8 @@ class CountTree:
                 bound = np.minimum(high_a[x], high_b[y]).sum(1)
                 ok = bound >= t.overlap(least_a[x] + least_b[y])
                 keep.append((x[ok], y[ok]))
-            a, b = (np.concatenate([k[j] for k in keep]) for j in (0, 1))
-            if level:
+            a, b = (np.concatenate([k[j] for k in keep] or [a[:0]]) for j in (0, 1))
+            if level and len(a):
                 width = LEAF if level == 1 else FANOUT
                 a, b = self._children(a, b, (len(left[level - 1][1]), len(right[level - 1][1])), (width if left[level] is not left[level - 1] else 1, width if right[level] is not right[level - 1] else 1))
                 if same:
