@@ -51,8 +51,8 @@ def _answer(index: bytes, own: np.ndarray, q: np.ndarray, k: int) -> tuple[list,
     for r, (name, v) in enumerate(zip(own.tolist(), q, strict=True)):
         up, down = np.maximum(v, 0), np.minimum(v, 0)
         slack = 1e-12 * (np.maximum(np.abs(least), np.abs(most)) @ np.abs(v)) if np.abs(v).max() * max(np.abs(x).max(), 1) * len(v) >= EXACT else 0.0
-        upper = most @ up + least @ down + slack
-        lower = least @ up + most @ down - slack
+        upper = np.minimum(most @ up + least @ down + slack, -float(LONG_MIN))
+        lower = np.clip(least @ up + most @ down - slack, float(LONG_MIN), -float(LONG_MIN))
         # k + 1 candidates of at least this score are there, of which one may be the query itself
         floor = -np.inf
         if copies.sum() > k:
