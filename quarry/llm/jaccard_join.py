@@ -116,13 +116,21 @@ def band_keys(s: np.ndarray, t: Threshold, bands: list) -> np.ndarray:
 
 
 def _first_of(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys once each with their least node, and star edges (2, m) from the other nodes to it."""
+    """Keys once each with their least node, and star edges (2, m) that join the nodes of each key."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
     least = np.repeat(nodes[first], np.diff(np.append(first, len(keys))))
-    edges = np.stack([nodes, least])[:, nodes != least]
-    return keys[first], nodes[first], np.unique(edges, axis=1) if edges.size else edges
+    return keys[first], nodes[first], _gathered(np.stack([nodes, least])[:, nodes != least])
+
+
+def _gathered(edges: np.ndarray) -> np.ndarray:
+    """Edges (2, m) from each of their nodes to the least one that it reaches by them."""
+    if not edges.size:
+        return edges
+    names = np.unique(edges)
+    root = _roots(names, np.searchsorted(names, edges[0]), np.searchsorted(names, edges[1]))
+    return np.stack([names, root])[:, names != root]
 
 
 _MAPPED = "pid int, kind int, keys binary, nodes binary, n binary, f1 binary, f2 binary"
@@ -146,6 +154,9 @@ def _map(it: Iterator[pa.RecordBatch], t: Threshold, pids: int) -> Iterator[pa.R
         keys, nodes = (np.concatenate([x[j] for x in held]) for j in (0, 1))
         held.clear()
         keys, nodes, edges = _first_of(keys, nodes)
+        if edges.size:  # what the task has joined goes on as one node
+            at = np.minimum(np.searchsorted(edges[0], nodes), edges.shape[1] - 1)
+            nodes = np.where(edges[0][at] == nodes, edges[1][at], nodes)
         out = [row(int(edges[0, 0] % pids), 1, nodes=edges[0], n=edges[1])] if edges.size else []
         pid = ((keys >> U64(32)) * U64(pids)) >> U64(32)
         at = np.searchsorted(pid, np.arange(pids + 1, dtype=U64))
