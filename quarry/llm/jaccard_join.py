@@ -11,9 +11,12 @@ sets lie close together), so the corpus is first split into blocks between
 which no link is possible, by the same groups: two sets that link differ in at
 most d elements, so of G > d groups at least G - d hold the same elements in
 both. Documents that agree on the contents of a group get a star edge to the
-least such document; connected components of these edges are the blocks. A
-block too large for a task is cut into parts and its pairs of parts are
-compared in separate tasks, so copies are never expanded into rows of pairs.
+least such document; connected components of these edges, by bands of size,
+are the blocks. Trees over the points of each block leave the pairs that may
+link; components of these are the smaller blocks whose shingles are fetched
+and compared. A block too large for a task is cut into parts and its pairs of
+parts are compared in separate tasks, so copies are never expanded into rows
+of pairs.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ from pyspark.sql import functions as F
 from quarry.llm.common import GOLD, U64, batches, cut, mix, partitions, slots, text_bytes, word_hashes
 from quarry.llm.components import connected_components
 
-#: Dimensions of the points of the R-tree.
-DIMS = 64
+#: Least dimensions of a point, and shingles for each dimension of a longer document's.
+DIMS, PER_DIM = 64, 16
+#: Documents of a part of a block whose points are compared in one task with as many others.
+PART_POINTS = 2048
 LEAF, FANOUT = 16, 8
 
 
@@ -90,6 +95,23 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
     return out
 
 
+def dims(n: int) -> int:
+    """Dimensions of the point of a set of n shingles: a power of two, so that a longer point folds into a shorter one."""
+    return max(DIMS, 1 << max(0, (n // PER_DIM - 1).bit_length()))
+
+
+def point(s: np.ndarray) -> np.ndarray:
+    """Counts of the shingles by group; groups are the first bits of the hash."""
+    bits = dims(len(s)).bit_length() - 1
+    return np.bincount((s >> U64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
+
+
+def folded(points: list[np.ndarray]) -> np.ndarray:
+    """Points of one dimension, the least of theirs: neighbouring groups add up."""
+    least = min(len(p) for p in points)
+    return np.stack([p.reshape(least, -1).sum(1) for p in points]).astype(np.int32)
+
+
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a set of shingles, as two signed 64-bit integers."""
     with np.errstate(over="ignore"):
@@ -134,7 +156,7 @@ def _gathered(edges: np.ndarray) -> np.ndarray:
 
 
 _MAPPED = "pid int, kind int, keys binary, nodes binary, n binary, f1 binary, f2 binary"
-_TABLE = "kind int, a long, b long, n long, f1 long, f2 long"
+_TABLE = "kind int, a long, b long, n long, f1 long, f2 long, point binary"
 
 
 def _map(it: Iterator[pa.RecordBatch], t: Threshold, pids: int) -> Iterator[pa.RecordBatch]:
@@ -167,6 +189,7 @@ def _map(it: Iterator[pa.RecordBatch], t: Threshold, pids: int) -> Iterator[pa.R
             ids = batch.column("doc_id")
             sets = shingle_sets(*text_bytes(batch.column("text")), t.words)
             known, n = [], [len(s) for s in sets]
+            points = [point(s) for s in sets]
             while max(n, default=0) >= bands[-1][0]:
                 bands = t.bands(2 * bands[-1][1])
             for node, s in zip(ids.to_pylist(), sets, strict=True):
@@ -182,7 +205,7 @@ def _map(it: Iterator[pa.RecordBatch], t: Threshold, pids: int) -> Iterator[pa.R
             f1, f2 = (np.array([f[j] for f in known], np.int64) for j in (0, 1))
             there = ids.is_valid().to_numpy(zero_copy_only=False)
             if there.any():
-                out = [row(int(f1[0] % pids), 0, nodes=np.array([x for x in ids.to_pylist() if x is not None], np.int64), n=np.array(n, np.int64)[there], f1=f1[there], f2=f2[there])]
+                out = [row(int(f1[0] % pids), 0, nodes=np.array([x for x in ids.to_pylist() if x is not None], np.int64), n=np.array(n, np.int64)[there], f1=f1[there], f2=f2[there], keys=np.concatenate([p for p, ok in zip(points, there, strict=True) if ok]))]
                 yield pa.RecordBatch.from_pylist(out, schema)
             if size >= 1 << 21:
                 yield pa.RecordBatch.from_pylist(flush(), schema)
@@ -204,25 +227,25 @@ def _reduce(table: pa.Table) -> pa.Table:
         elif kind == 1:
             parts.append((1, ints(columns["nodes"][i]), ints(columns["n"][i])))
         else:
-            parts.append((0, *(ints(columns[c][i]) for c in ("nodes", "nodes", "n", "f1", "f2"))))
+            parts.append((0, *(ints(columns[c][i]) for c in ("nodes", "nodes", "n", "f1", "f2")), columns["keys"][i]))
     if keys:
         _, _, edges = _first_of(np.concatenate(keys), np.concatenate(nodes))
         parts.append((1, edges[0], edges[1]))
     out = []
     for kind, a, b, *rest in parts:
-        n, f1, f2 = rest or [np.zeros(len(a), np.int64)] * 3
-        out.append(pa.table({"kind": pa.array(np.full(len(a), kind, np.int32)), "a": a, "b": b, "n": n, "f1": f1, "f2": f2}))
+        n, f1, f2, packed = rest or [np.zeros(len(a), np.int64)] * 3 + [b""]
+        at = np.concatenate([[0], np.cumsum([2 * dims(int(x)) for x in n])]) if kind == 0 else np.zeros(len(a) + 1, np.int64)
+        points = pa.array([packed[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
+        out.append(pa.table({"kind": pa.array(np.full(len(a), kind, np.int32)), "a": a, "b": b, "n": n, "f1": f1, "f2": f2, "point": points}))
     return pa.concat_tables(out)
 
 
 class CountTree:
     """An R-tree over count vectors, packed bottom-up in order of size; nodes keep coordinate maxima and extreme sizes."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        self.order = np.argsort(self.sizes, kind="stable")
-        points = np.stack([np.bincount((sets[i] >> U64(58)).astype(np.int64), minlength=DIMS) for i in self.order]).astype(np.int32)
-        sizes = self.sizes[self.order]
+    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+        self.order = np.argsort(sizes, kind="stable")
+        points, sizes = points[self.order], sizes[self.order]
         self.levels = [(points, sizes, sizes)]
         width = LEAF
         while len(self.levels[-1][1]) > 1:
@@ -302,28 +325,61 @@ def _roots(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def _survivors(points: list[np.ndarray], sizes: np.ndarray, split: int | None, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions that the count tree can't rule out: of all, or between those before `split` and the others."""
+    none = np.empty(0, np.int64)
+    if split is not None and not 0 < split < len(points):
+        return none, none
+    flat = folded(points)
+    if split is None:
+        tree = CountTree(flat, sizes)
+        return tree.pairs(tree, t)
+    i, j = CountTree(flat[:split], sizes[:split]).pairs(CountTree(flat[split:], sizes[split:]), t)
+    return i, j + split
+
+
+def _blocks(table: pa.Table) -> Iterator[tuple[np.ndarray, int | None]]:
+    """Rows of each block that came to one task, by part and document, and where part 2 begins if the block is two parts' meeting."""
+    block, part, rep = (table.column(c).to_numpy() for c in ("block", "part", "rep"))
+    order = np.lexsort((rep, part, block))
+    at = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0, [True]]))
+    for x, y in zip(at[:-1], at[1:], strict=True):
+        rows = order[x:y]
+        yield rows, None if part[rows[0]] == 0 else int(np.searchsorted(part[rows], 2))
+
+
+def _sift(table: pa.Table, t: Threshold) -> pa.Table:
+    """Edges between documents whose points allow a link, each to the least that it reaches within the block.
+
+    A block holds the sets of one band of sizes and those of the band below
+    that reach it; two of the latter meet in their own band.
+    """
+    nodes, n, own = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "n", "own"))
+    points = [np.frombuffer(x, np.uint16) for x in table.column("point").to_pylist()]
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for rows, split in _blocks(table):
+        i, j = _survivors([points[r] for r in rows], n[rows], split, t)
+        real = own[rows][i] | own[rows][j]
+        root = _roots(nodes[rows], i[real], j[real])
+        a.append(nodes[rows][nodes[rows] != root])
+        b.append(root[nodes[rows] != root])
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
 def _verify(table: pa.Table, t: Threshold) -> pa.Table:
     """Links within the blocks (part 0), or between two parts of a block (1 and 2), that came to one task: (doc, links, root).
 
     A document that came more than once with the same shingles counts once.
     """
-    block, part = table.column("block").to_numpy(), table.column("part").to_numpy()
     nodes, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
     sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
     out_node, out_links, out_root = [], [], []
-    order = np.lexsort((nodes, part, block))
-    at = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0, [True]]))
-    for x, y in zip(at[:-1], at[1:], strict=True):
-        rows = order[x:y]
+    part = table.column("part").to_numpy()
+    for rows, split in _blocks(table):
         rows = rows[[k == 0 or nodes[r] != nodes[rows[k - 1]] or len(sets[r]) != len(sets[rows[k - 1]]) or (sets[r] != sets[rows[k - 1]]).any() for k, r in enumerate(rows)]]
-        own, split = nodes[rows], np.searchsorted(part[rows], 2)
-        mine = [sets[r] for r in rows]
-        if part[rows[0]] == 0:
-            tree = CountTree(mine)
-            i, j = tree.pairs(tree, t)
-        else:
-            i, j = (CountTree(mine[:split]).pairs(CountTree(mine[split:]), t)) if 0 < split < len(rows) else (np.empty(0, np.int64),) * 2
-            j = j + split
+        split = None if split is None else int(np.searchsorted(part[rows], 2))
+        own, mine = nodes[rows], [sets[r] for r in rows]
+        i, j = _survivors([point(x) for x in mine], np.array([len(x) for x in mine], np.int64), split, t)
         ok = verified(mine, mine, i, j, t)
         i, j = i[ok], j[ok]
         weight = copies[rows]
@@ -334,6 +390,22 @@ def _verify(table: pa.Table, t: Threshold) -> pa.Table:
     return pa.table({"doc": np.concatenate(out_node), "links": np.concatenate(out_links), "root": np.concatenate(out_root)})
 
 
+def _met(rows: DataFrame, bins: int, *columns: str) -> DataFrame:
+    """(task, block, part, rep, columns): rows (comp, parts, rep) dealt to the tasks that compare them.
+
+    Blocks of one part are gathered in `bins` tasks. Of a larger block each
+    part meets itself (part 0) and each other part (1 and 2) in its own task.
+    """
+    mine = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts")).cast("int")
+    every = F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(0)))
+    pair = F.xxhash64("comp", F.least("mine", "with"), F.greatest("mine", "with"))
+    alone = F.col("parts") == 1
+    return rows.withColumn("mine", mine).withColumn("with", F.explode(every)).select(
+        F.when(alone, F.pmod(F.xxhash64("comp"), F.lit(bins))).otherwise(pair).alias("task"), F.when(alone, F.col("comp")).otherwise(pair).alias("block"),
+        F.when(alone | (F.col("mine") == F.col("with")), 0).when(F.col("mine") < F.col("with"), 1).otherwise(2).alias("part"), "rep", *columns,
+    )
+
+
 def _sets(it: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Texts replaced by their shingles; rows whose shingles are not those of the class they stand for go."""
     for whole in it:
@@ -350,7 +422,7 @@ def jaccard_join(docs: DataFrame, threshold: Threshold | None = None, part_size:
     n_shingles is the size of the row's set, component_id the least doc_id
     reachable by links, n_links the number of other documents it links with,
     copy_of the least doc_id with the same set. Other columns of docs are not
-    read. part_size bounds the shingles (a document counts as 256 at least)
+    read. part_size bounds the shingles (a document counts as 512 at least)
     that a task compares with as many others; broadcast_rows bounds the table
     of documents to be compared that is broadcast, a larger one is shuffled.
 
@@ -371,10 +443,21 @@ def jaccard_join(docs: DataFrame, threshold: Threshold | None = None, part_size:
     sets = each.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     member = cut(each.join(sets, ["f1", "f2", "n"], "left").select("doc_id", "n", "f1", "f2", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")))
     stars = table.where("kind = 1").select("a", "b").unionByName(member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    blocks = connected_components(stars)
+    agreed = connected_components(stars)
+    named = lambda x: x.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     reps = member.where("doc_id = rep").select("rep", "n", "f1", "f2", "copies")
-    placed = reps.join(blocks.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep")
-    weight = F.greatest("n", F.lit(256))
+    points = table.where("kind = 0").select(F.col("a").alias("rep"), "f1", "f2", "point").dropDuplicates(["rep", "f1", "f2"])
+    several = reps.join(named(agreed), "rep").join(named(agreed).join(reps, "rep").groupBy("comp").agg(F.count("*").alias("sets")).where("sets > 1"), "comp")
+    longest = rows.agg(F.max("n")).first()[0] or 1
+    bands = F.array(*(F.struct(F.lit(i).alias("band"), F.lit(low).alias("low"), F.lit(high).alias("high")) for i, (low, high, *_) in enumerate(t.bands(longest))))
+    size = F.col("n")
+    mine_or_next = F.filter(bands, lambda b: ((b["low"] <= size) & (size < b["high"])) | ((size < b["low"]) & (size * t.den >= b["low"] * t.num)))
+    banded = several.join(points, ["rep", "f1", "f2"]).select("rep", "n", "point", "comp", F.explode(mine_or_next).alias("b")).select("rep", "n", "point", F.xxhash64("comp", "b.band").alias("comp"), (F.col("b.low") <= F.col("n")).alias("own"))
+    banded = cut(banded.join(banded.groupBy("comp").agg(F.count("*").alias("sets")).where("sets > 1"), "comp").withColumn("parts", F.ceil(F.col("sets") / PART_POINTS).cast("int")))
+    bins = max(1, math.ceil(banded.where("parts = 1").count() / PART_POINTS))
+    sifted = cut(_met(banded, bins, "n", "point", "own").groupBy("task").applyInArrow(lambda x: _sift(x, t), "a long, b long"))
+    placed = reps.join(named(connected_components(sifted)), "rep")
+    weight = F.greatest("n", F.lit(512))
     held = placed.groupBy("comp").agg(F.count("*").alias("sets"), F.sum(weight).alias("weight")).where("sets > 1")
     parts = F.ceil(F.col("weight") / part_size).cast("int")
     todo = cut(placed.join(held.withColumn("parts", parts), "comp").select("rep", "comp", "f1", "f2", "copies", "parts", weight.alias("weight")))
@@ -384,14 +467,7 @@ def jaccard_join(docs: DataFrame, threshold: Threshold | None = None, part_size:
     found = docs.join(wanted, docs.doc_id == wanted.rep).select("rep", "comp", "f1", "f2", "copies", "parts", "text")
     k = t.words
     shingles = found.mapInArrow(lambda it: _sets(it, k), "rep long, comp long, copies long, parts int, shingles binary")
-    mine = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts")).cast("int")
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    spread = (
-        shingles.withColumn("mine", mine)
-        .withColumn("with", F.explode(F.when(F.col("parts") > 1, every).otherwise(F.array(F.lit(0)))))
-        .withColumn("task", F.when(F.col("parts") > 1, F.xxhash64("comp", F.least("mine", "with"), F.greatest("mine", "with"))).otherwise(F.pmod(F.xxhash64("comp"), F.lit(bins))))
-        .select("task", F.when(F.col("parts") > 1, F.col("task")).otherwise(F.col("comp")).alias("block"), F.when((F.col("parts") == 1) | (F.col("mine") == F.col("with")), 0).when(F.col("mine") < F.col("with"), 1).otherwise(2).alias("part"), "rep", "copies", "shingles")
-    )
+    spread = _met(shingles, bins, "copies", "shingles")
     links = cut(spread.groupBy("task").applyInArrow(lambda x: _verify(x, t), "doc long, links long, root long"))
     joined = connected_components(links.select(F.col("doc").alias("a"), F.col("root").alias("b")))
     linked = links.groupBy(F.col("doc").alias("rep")).agg(F.sum("links").alias("links")).join(joined.withColumnRenamed("node", "rep"), "rep", "left")
