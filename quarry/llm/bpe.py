@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batches
+from quarry.llm.common import batches, small_batches
 from quarry.llm.token_count import LETTERS, NUMBERS, UNUSUAL, byte_symbols, once
 
 
@@ -24,7 +24,7 @@ WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTE
 #: Above any position in a word; ids from UNKNOWN on stand for bytes that the vocabulary lacks.
 SPAN, UNKNOWN = 1 << 40, 1 << 19
 #: Words whose ids a worker remembers.
-WORDS = 500_000
+WORDS = 150_000
 
 
 class Bpe:
@@ -140,13 +140,13 @@ def _over(docs: DataFrame, path: str, schema: str, row) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = once(("bpe", path), lambda: Bpe(path))
         for whole in it:
-            for batch in batches(whole, "text"):
+            for batch in batches(whole, "text", 1 << 21):
                 columns = list(zip(*(row(bpe, x) for x in pc.fill_null(batch.column("text"), "").to_pylist()), strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
     names = [c.split()[0] for c in schema.split(", ")]
     types = [{"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[c.split()[1]] for c in schema.split(", ")[1:]]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

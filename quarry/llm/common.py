@@ -45,6 +45,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that hands rows to Python a thousand at a time at most, as rows may hold long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name, "10000")) <= 1000:
+        df.sparkSession.conf.set(name, "1000")
+    return df
+
+
 def partitions(df: DataFrame) -> int:
     """Number of partitions of an input frame (a scan or a checkpoint)."""
     return max(1, df._jdf.rdd().getNumPartitions())

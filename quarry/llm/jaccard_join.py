@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import GOLD, U64, batches, cut, mix, partitions, slots, text_bytes, word_hashes
+from quarry.llm.common import GOLD, U64, batches, cut, mix, partitions, slots, small_batches, text_bytes, word_hashes
 from quarry.llm.components import connected_components
 
 #: Least dimensions of a point, and shingles for each dimension of a longer document's.
@@ -185,7 +185,7 @@ def _map(it: Iterator[pa.RecordBatch], t: Threshold, pids: int) -> Iterator[pa.R
         return out + [row(p, 2, keys=keys[a:b], nodes=nodes[a:b]) for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
 
     for whole in it:
-        for batch in batches(whole, "text"):
+        for batch in batches(whole, "text", 1 << 21):
             ids = batch.column("doc_id")
             sets = shingle_sets(*text_bytes(batch.column("text")), t.words)
             known, n = [], [len(s) for s in sets]
@@ -207,7 +207,7 @@ def _map(it: Iterator[pa.RecordBatch], t: Threshold, pids: int) -> Iterator[pa.R
             if there.any():
                 out = [row(int(f1[0] % pids), 0, nodes=np.array([x for x in ids.to_pylist() if x is not None], np.int64), n=np.array(n, np.int64)[there], f1=f1[there], f2=f2[there], keys=np.concatenate([p for p, ok in zip(points, there, strict=True) if ok]))]
                 yield pa.RecordBatch.from_pylist(out, schema)
-            if size >= 1 << 21:
+            if size >= 1 << 20:
                 yield pa.RecordBatch.from_pylist(flush(), schema)
                 size = 0
     if held:
@@ -409,7 +409,7 @@ def _met(rows: DataFrame, bins: int, *columns: str) -> DataFrame:
 def _sets(it: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Texts replaced by their shingles; rows whose shingles are not those of the class they stand for go."""
     for whole in it:
-        for batch in batches(whole, "text"):
+        for batch in batches(whole, "text", 1 << 21):
             sets = shingle_sets(*text_bytes(batch.column("text")), k)
             keep = pa.array([fingerprint(s) == f for s, f in zip(sets, zip(batch.column("f1").to_pylist(), batch.column("f2").to_pylist(), strict=True), strict=True)], pa.bool_())
             columns = {c: batch.column(c) for c in ("rep", "comp", "copies", "parts")} | {"shingles": pa.array([s.tobytes() for s in sets], pa.binary())}
@@ -433,7 +433,7 @@ def jaccard_join(docs: DataFrame, threshold: Threshold | None = None, part_size:
     exact but for collisions of 64-bit hashes of shingles.
     """
     t = threshold or Threshold()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pids = 2 * partitions(docs)
     mapped = docs.mapInArrow(lambda it: _map(it, t, pids), _MAPPED)
     table = cut(mapped.repartition(pids, "pid").groupBy("pid").applyInArrow(_reduce, _TABLE))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batches, cut, text_bytes, words_per_row
+from quarry.llm.common import batches, cut, small_batches, text_bytes, words_per_row
 
 #: Ranges of hash keys of a source for which sums are kept.
 RANGES = 4096
@@ -21,7 +21,7 @@ def word_sizes(docs: DataFrame, *keep: str) -> DataFrame:
             for batch in batches(whole, "_text"):
                 yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {"size": words_per_row(*text_bytes(batch.column("_text")))})
 
-    source = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    source = small_batches(docs).select(*keep, F.col("text").cast("string").alias("_text"))
     types = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c != "_text")
     return source.mapInArrow(run, f"{types}, size long")
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import _LOWER, GOLD, U64, batches, crc_mod, cut, mix, partitions, slots, text_bytes, word_hashes
+from quarry.llm.common import _LOWER, GOLD, U64, batches, crc_mod, cut, mix, partitions, slots, small_batches, text_bytes, word_hashes
 
 ORDER = 5
 #: Bytes that UTF-8 never holds: before a text and after it.
@@ -280,7 +280,7 @@ def ppm_scores(docs: DataFrame, hold_out: int = 10, broadcast_entries: int = 6_0
     no row is for training, every symbol is as likely and base_score is 0. An
     empty table gives an empty one; other columns aren't read.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (crc_mod("doc_id", hold_out) == 0).alias("held_out"))
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (crc_mod("doc_id", hold_out) == 0).alias("held_out"))
     pids = 2 * partitions(docs)
     counted = source.mapInArrow(lambda it: _count(it, pids), _BLOBS)
     trie = cut(counted.groupBy("kind", "pid").applyInArrow(_merge, _BLOBS))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batches, crc_mod, cut, slots, text_bytes, word_hashes
+from quarry.llm.common import batches, crc_mod, cut, slots, small_batches, text_bytes, word_hashes
 
 NAMES = ("bytes", "words", "word_length", "upper", "digits", "symbols", "not_ascii", "blank", "lines", "line_ends", "distinct_words", "top_word", "repeated_triples", "stops", "symbol_ends")
 
@@ -214,7 +214,7 @@ def quality_scores(docs: DataFrame, model: AdditiveModel, *keep: str, names: tup
     texts are scored as empty ones. Only text is an input of the score.
     """
     text = "text" if "text" in keep and dict(docs.dtypes)["text"] == "string" else "_text"
-    source = docs.select(*keep, *([F.col("text").cast("string").alias("_text")] if text == "_text" else []))
+    source = small_batches(docs).select(*keep, *([F.col("text").cast("string").alias("_text")] if text == "_text" else []))
     types = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c in keep)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batches
+from quarry.llm.common import batches, small_batches
 
 
 
@@ -162,5 +162,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, chunk: int = 1 <<
                 n = np.array(counter.count(text.to_pylist()), np.int64)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pc.binary_length(text).cast(pa.int64()), "n_tokens": n, "over_limit": n > limit})
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
