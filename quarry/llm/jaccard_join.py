@@ -37,6 +37,8 @@ from quarry.llm.components import connected_components
 DIMS, PER_DIM = 64, 16
 #: Documents of a part of a block whose points are compared in one task with as many others.
 PART_POINTS = 2048
+#: Bytes of points of such a part at most (long documents have long points), and cells of points that are looked at in one go.
+PART_BYTES, CELLS = 1 << 23, 1 << 20
 LEAF, FANOUT = 16, 8
 
 
@@ -260,11 +262,12 @@ class CountTree:
         depth = max(len(self.levels), len(other.levels))
         left, right = (x.levels + [x.levels[-1]] * (depth - len(x.levels)) for x in (self, other))
         a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        step = max(1, CELLS // self.levels[0][0].shape[1])
         for level in range(depth - 1, -1, -1):
             (high_a, least_a, most_a), (high_b, least_b, most_b) = left[level], right[level]
             keep = []
-            for i in range(0, len(a), 1 << 14):
-                x, y = a[i : i + (1 << 14)], b[i : i + (1 << 14)]
+            for i in range(0, len(a), step):
+                x, y = a[i : i + step], b[i : i + step]
                 near = (most_a[x] * t.den >= least_b[y] * t.num) & (most_b[y] * t.den >= least_a[x] * t.num)
                 x, y = x[near], y[near]
                 bound = np.minimum(high_a[x], high_b[y]).sum(1)
@@ -453,8 +456,10 @@ def jaccard_join(docs: DataFrame, threshold: Threshold | None = None, part_size:
     size = F.col("n")
     mine_or_next = F.filter(bands, lambda b: ((b["low"] <= size) & (size < b["high"])) | ((size < b["low"]) & (size * t.den >= b["low"] * t.num)))
     banded = several.join(points, ["rep", "f1", "f2"]).select("rep", "n", "point", "comp", F.explode(mine_or_next).alias("b")).select("rep", "n", "point", F.xxhash64("comp", "b.band").alias("comp"), (F.col("b.low") <= F.col("n")).alias("own"))
-    banded = cut(banded.join(banded.groupBy("comp").agg(F.count("*").alias("sets")).where("sets > 1"), "comp").withColumn("parts", F.ceil(F.col("sets") / PART_POINTS).cast("int")))
-    bins = max(1, math.ceil(banded.where("parts = 1").count() / PART_POINTS))
+    met = banded.groupBy("comp").agg(F.count("*").alias("sets"), F.sum(F.length("point")).alias("bytes")).where("sets > 1")
+    banded = cut(banded.join(met, "comp").withColumn("parts", F.greatest(F.ceil(F.col("sets") / PART_POINTS), F.ceil(F.col("bytes") / PART_BYTES)).cast("int")))
+    n_small, n_bytes = banded.where("parts = 1").agg(F.count("*"), F.sum(F.length("point"))).first()
+    bins = max(1, math.ceil(n_small / PART_POINTS), math.ceil((n_bytes or 0) / PART_BYTES))
     sifted = cut(_met(banded, bins, "n", "point", "own").groupBy("task").applyInArrow(lambda x: _sift(x, t), "a long, b long"))
     placed = reps.join(named(connected_components(sifted)), "rep")
     weight = F.greatest("n", F.lit(512))
