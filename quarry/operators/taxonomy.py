@@ -85,3 +85,90 @@ def canonical_paths(docs: DataFrame, root: str, year: str) -> DataFrame:
     named = F.concat_ws("_", F.when(found == "", year).otherwise(found), entity, F.array_join(F.filter(words, lambda w: ~F.contains(entity, w)), "_"))
     file = F.when((F.trim("title") != "") & generic_filename(F.col("original_filename")), F.concat(named, F.lower(extension(F.col("original_filename"))))).otherwise(F.col("original_filename"))
     return docs.select("id", F.concat_ws("/", F.lit(root), segment(cat), segment(sub), F.when(found == "", year).otherwise(found), file).alias("path"))
+
+
+def merge_overlay(base: DataFrame, overlay: DataFrame) -> DataFrame:
+    """(category, subcategory, origin): a public taxonomy and what a private one adds to it, without subcategories that say nothing."""
+    added = overlay_diff(overlay, base).withColumn("origin", F.lit("private"))
+    both = base.select("category", "subcategory").withColumn("origin", F.lit("public")).unionByName(added)
+    return both.where(~forbidden_subcategory(F.col("subcategory")))
+
+
+def overlay_diff(saved: DataFrame, public: DataFrame) -> DataFrame:
+    """(category, subcategory) of a saved taxonomy that the public one lacks: new categories whole, of known ones the new subcategories."""
+    pair = ["category", "subcategory"]
+    return saved.select(*pair).dropDuplicates().join(public.select(*pair), pair, "left_anti")
+
+
+def ensure_categories(known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The categories with those wanted that they lack."""
+    have = known.select("category").dropDuplicates()
+    return have.unionByName(wanted.select("category").dropDuplicates().join(have, "category", "left_anti"))
+
+
+def category_conflicts(proposed: DataFrame, known: DataFrame) -> DataFrame:
+    """(category, kind, to_category, to_subcategory, percent): what each proposed category collides with, if anything.
+
+    A near category goes first, then a subcategory of that name or near it: an
+    entity is no category. A category that exists is not near itself. As with
+    subcategories, names meet by the lengths that allow the similarity.
+    """
+    p = proposed.select("category").dropDuplicates().withColumn("raw", F.lower(F.trim("category"))).withColumn("s", compare_slug(F.col("raw"))).where("s <> ''")
+    own = lambda c: ~forbidden_subcategory(F.col(c))
+    cats = known.where(own("category")).groupBy("category").agg(F.min("ord").alias("ord")).select(F.lit(0).alias("rank"), "ord", F.col("category").alias("to_category"), F.lit("").alias("to_subcategory"), F.col("category").alias("name"))
+    subs = known.where(own("subcategory")).select(F.lit(1).alias("rank"), "ord", F.col("category").alias("to_category"), F.col("subcategory").alias("to_subcategory"), F.col("subcategory").alias("name"))
+    names = cats.unionByName(subs).withColumn("t", compare_slug(F.col("name"))).withColumn("len", F.length("t")).drop("name")
+    n = F.length("s")
+    wide = p.withColumn("len", F.explode(F.sequence(F.floor(n * NEAR).cast("int"), F.ceil(n / NEAR).cast("int"))))
+    met = wide.join(names, "len").withColumn("r", similarity(F.col("s"), F.col("t")))
+    near = (F.col("rank") == 0) & (F.col("s") != F.col("t")) & (n >= 4) & (F.col("r") >= NEAR)
+    entity = (F.col("rank") == 1) & (F.col("r") >= NEAR)
+    first = F.min_by(F.struct("rank", "to_category", "to_subcategory", "r"), F.struct("rank", -F.col("r"), "ord"))
+    best = met.where(near | entity).groupBy("category").agg(first.alias("b"))
+    return best.select("category", F.when(F.col("b.rank") == 0, "category-near").otherwise("entity-as-category").alias("kind"), "b.to_category", "b.to_subcategory", F.round(F.col("b.r") * 100).cast("long").alias("percent"))
+
+
+def resolve_categories(rows: DataFrame, known: list[tuple[str, list[str]]], table: DataFrame) -> DataFrame:
+    """(id, category, state) of (id, category): the first known category whose id it is or of which it holds an alias, else the one it conflicts with, else itself as a new one.
+
+    known, the categories in order with their aliases, is configuration and
+    becomes one literal; conflicts are sought for distinct names alone.
+    """
+    raw = slug(F.when(F.coalesce("category", F.lit("")) == "", "administrative").otherwise(F.col("category")))
+    named = rows.select("id", raw.alias("category"))
+    entry = lambda c, names: F.struct(F.lit(c).alias("c"), F.array(*(slug(F.lit(a)) for a in names)).cast("array<string>").alias("a"))
+    listed = F.array(*(entry(c, names) for c, names in known))
+    hit = lambda e: (e["c"] == F.col("category")) | F.exists(e["a"], lambda a: F.contains(F.col("category"), a))
+    named = named.withColumn("hit", F.get(F.filter(listed, hit), F.lit(0))["c"])
+    open_names = named.where("hit IS NULL").select("category").distinct()
+    clash = category_conflicts(open_names, table).select("category", "to_category")
+    out = named.join(clash, "category", "left")
+    state = F.when(F.col("hit").isNotNull(), "known").when(F.col("to_category").isNotNull(), "conflict").otherwise("new")
+    return out.select("id", F.coalesce("hit", "to_category", "category").alias("category"), state.alias("state"))
+
+
+def changed_decisions(edits: DataFrame) -> DataFrame:
+    """Edits that are recorded: those after which category or subcategory differs in more than the case of letters."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    return edits.where((low("old_category") != low("new_category")) | (low("old_subcategory") != low("new_subcategory")))
+
+
+def renamed(docs: DataFrame, category: str, old: str, new: str) -> DataFrame:
+    """(id, category, subcategory) after a subcategory got another name; letters of either case are equal."""
+    same = (F.lower("category") == category.lower()) & (F.lower("subcategory") == old.lower())
+    return docs.select("id", "category", F.when(same, new).otherwise(F.col("subcategory")).alias("subcategory"))
+
+
+def moves(docs: DataFrame, root: str, year: str) -> DataFrame:
+    """(id, new_path, path) of rows whose file is not where its canonical path says; a plan, no file is moved."""
+    tidy = lambda c: F.lower(F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), "/+", "/"))
+    both = docs.select("id", "new_path").join(canonical_paths(docs, root, year), "id")
+    return both.where(tidy(F.col("new_path")) != tidy(F.col("path")))
+
+
+def numbered(files: DataFrame, suffix: str) -> DataFrame:
+    """(id, name, unique_name): of each name the first by id keeps it, the others get the suffix and a number before the extension."""
+    i = F.row_number().over(Window.partitionBy("name").orderBy("id")) - 1
+    ext = extension(F.col("name"))
+    stem = F.substr("name", F.lit(1), F.length("name") - F.length(ext))
+    return files.withColumn("i", i).select("id", "name", F.when(F.col("i") == 0, F.col("name")).otherwise(F.concat(stem, F.lit(f"_{suffix}"), F.col("i").cast("string"), ext)).alias("unique_name"))

@@ -91,3 +91,49 @@ def crop_choice(boxes: DataFrame) -> DataFrame:
     iou = F.coalesce(F.when(union > 0, both / union), F.lit(0.0))
     source = F.when(F.col("veto"), "veto").when(F.col("f").isNull() & F.col("m").isNull(), "none").when(F.col("f").isNull(), "model").when(F.col("m").isNull() | (iou < AGREE), "flood").otherwise("agree")
     return boxes.select("id", source.alias("source"), F.round(iou, 9).alias("iou"))
+
+
+def progress(updates: DataFrame) -> DataFrame:
+    """(task, seq, processed, percent) of updates (task, seq, total, processed): progress never goes back, a total of 0 keeps the one before."""
+    so_far = Window.partitionBy("task").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.coalesce(F.last(F.when(F.col("total") > 0, F.col("total")), ignorenulls=True).over(so_far), F.lit(0))
+    rows = updates.select("task", "seq", total.alias("total"), F.greatest(F.lit(0), F.max("processed").over(so_far)).alias("processed"))
+    percent = F.when(F.col("total") > 0, F.least(F.lit(100), F.floor(F.col("processed") / F.col("total") * 100 + 0.5))).otherwise(0)
+    return rows.select("task", "seq", F.col("processed").cast("long").alias("processed"), percent.cast("long").alias("percent"))
+
+
+#: Fixed value: the least share of the range of grey that levels stretch.
+LEAST_RANGE = 0.05
+
+
+def levels(pixels: DataFrame, clip: float) -> DataFrame:
+    """(image, black, white, brightness, contrast) of (image, grey): the first values with more than a share of pixels at or beyond them.
+
+    Pixels are counted by value first, so a window holds 256 rows at most.
+    """
+    counts = pixels.groupBy("image", "grey").agg(F.count("*").alias("n"))
+    every = Window.partitionBy("image")
+    up, down = every.orderBy("grey"), every.orderBy(F.desc("grey"))
+    rows = counts.select("image", "grey", F.sum("n").over(up).alias("below"), F.sum("n").over(down).alias("above"), (F.sum("n").over(every) * clip).alias("cut"))
+    ends = rows.groupBy("image").agg(F.coalesce(F.min(F.when(F.col("below") > F.col("cut"), F.col("grey"))), F.lit(0)).alias("black"), F.coalesce(F.max(F.when(F.col("above") > F.col("cut"), F.col("grey"))), F.lit(255)).alias("white"))
+    low, high = F.col("black") / 255, F.col("white") / 255
+    flat = high - low < LEAST_RANGE
+    dark = low + high <= 0.01
+    bounded = lambda k: F.floor(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), (k - 1) * 100)) + 0.5).cast("long")
+    k1 = F.when(flat | dark, 1.0).otherwise(F.try_divide(F.lit(1.0), low + high))
+    k2 = F.when(flat | dark, 1.0).otherwise(F.try_divide(low + high, high - low))
+    return ends.select("image", F.col("black").cast("long").alias("black"), F.col("white").cast("long").alias("white"), bounded(k1).alias("brightness"), bounded(k2).alias("contrast"))
+
+
+def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, median): the value in the middle, of two the greater; counted by value, no group is gathered."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(key)
+    placed = counts.select(key, value, F.sum("n").over(w.orderBy(value)).alias("upto"), F.floor(F.sum("n").over(w) / 2).alias("middle"))
+    return placed.where("upto > middle").groupBy(key).agg(F.min(value).alias("median"))
+
+
+def orientation(rows: DataFrame) -> DataFrame:
+    """(id, degrees, source) of (id, tag, model): the model's turn, and whether the tag of the image agrees."""
+    said = F.when(F.col("tag") == 1, 0).when(F.col("tag") == 3, 180).when(F.col("tag") == 6, 90).when(F.col("tag") == 8, 270)
+    return rows.select("id", F.col("model").cast("long").alias("degrees"), F.when(said == F.col("model"), "exif+model-agree").otherwise("model-only").alias("source"))
