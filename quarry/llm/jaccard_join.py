@@ -207,7 +207,9 @@ def _map(it: Iterator[pa.RecordBatch], t: Threshold, pids: int) -> Iterator[pa.R
             f1, f2 = (np.array([f[j] for f in known], np.int64) for j in (0, 1))
             there = ids.is_valid().to_numpy(zero_copy_only=False)
             if there.any():
-                out = [row(int(f1[0] % pids), 0, nodes=np.array([x for x in ids.to_pylist() if x is not None], np.int64), n=np.array(n, np.int64)[there], f1=f1[there], f2=f2[there], keys=np.concatenate([p for p, ok in zip(points, there, strict=True) if ok]))]
+                nodes = np.array([x for x in ids.to_pylist() if x is not None], np.int64)
+                part = int(mix(nodes.view(U64)).min() % U64(pids))  # by ids, not texts, as a text may be in any number of rows
+                out = [row(part, 0, nodes=nodes, n=np.array(n, np.int64)[there], f1=f1[there], f2=f2[there], keys=np.concatenate([p for p, ok in zip(points, there, strict=True) if ok]))]
                 yield pa.RecordBatch.from_pylist(out, schema)
             if size >= 1 << 20:
                 yield pa.RecordBatch.from_pylist(flush(), schema)
