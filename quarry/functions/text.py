@@ -28,6 +28,15 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def head_units(c: Column, n: int) -> Column:
+    """The first n UTF-16 units of a text; a character of two units that would be cut is left out."""
+    head = F.substring(c, 1, n)
+    units = F.encode(head, "UTF-16BE")
+    half = F.hex(units.substr(2 * n - 1, 1)).between("D8", "DB")
+    cut = F.decode(units.substr(F.lit(1), F.when(half, 2 * n - 2).otherwise(2 * n)), "UTF-16BE")
+    return F.when(head.rlike(r"[\x{10000}-\x{10FFFF}]"), cut).otherwise(head)
+
+
 def _folds() -> tuple[str, str]:
     """Letters below U+0250 that decompose to an ASCII letter and marks, and those letters."""
     pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250)]

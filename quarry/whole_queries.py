@@ -1,0 +1,40 @@
+"""Queries that read the whole of what their namesakes in quarry.queries cut, and DuckDB SQL for them, written apart.
+
+The SQL of the namesakes makes the same cuts and stays as it is, so the whole job has names of its own.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarry.functions.text import head_units
+from quarry.operators import classify as C
+from quarry.queries import _REG, _docs, _pick, _s
+from quarry.sources import registry as R
+
+#: Fixed value: how many UTF-16 units of a text the classifier reads.
+UNITS_READ = 4000
+
+
+def _signal(docs: DataFrame) -> DataFrame:
+    """signal: the start of the dealt phrase and the text, as much as the classifier reads. The phrase stands first, so that it lies within."""
+    return docs.withColumn("signal", head_units(F.concat(R.dealt(R.PHRASES, F.col("id")), F.lit(" "), F.col("raw_text")), UNITS_READ))
+
+
+QUERIES = {
+    "overlay_match_whole": _docs(lambda d: C.overlay_match(_signal(d))),
+}
+
+# --- SQL ---------------------------------------------------------------------------------------------------------
+
+#: A character of two units gets a mark behind it, so that characters and marks count units; one that lost its mark to the cut goes.
+_WIDE = r"[\x{10000}-\x{10FFFF}]"
+_HEAD = f"replace(regexp_replace(left(regexp_replace({_pick(R.PHRASES, 'id')} || ' ' || raw_text, '({_WIDE})', '\\1' || chr(65535), 'g'), {UNITS_READ}), '{_WIDE}$', ''), chr(65535), '')"
+_COMBINED = f"lower(original_filename || ' ' || {_HEAD})"
+
+ORACLE_SQL = {
+    "overlay_match_whole": f"WITH {_REG}, h AS (SELECT id, lower(original_filename) AS n, {_COMBINED} AS c FROM r), f AS (SELECT id, CASE "
+    + " ".join(f"WHEN regexp_matches({'n' if scope == 'filename' else 'c'}, '(^|[^\\p{{L}}]){w}($|[^\\p{{L}}])') THEN {{'k': {_s(w)}, 'c': {_s(c)}, 's': {_s(s)}}}" for w, c, s, scope in C.OVERLAY if s)
+    + " END AS x FROM h) SELECT id, x.k AS keyword, x.c AS category, x.s AS subcategory FROM f WHERE x IS NOT NULL",
+}

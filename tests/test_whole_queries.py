@@ -1,0 +1,26 @@
+"""Every whole query against its SQL, and cases that the cut versions miss."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarry import whole_queries as W
+from quarry.functions import text as T
+from quarry.whole_queries import ORACLE_SQL, QUERIES
+from tests.conftest import SF
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_same_as_sql(spark, same_as_sql, name):
+    same_as_sql(QUERIES[name](spark, SF), ORACLE_SQL[name])
+
+
+@pytest.mark.parametrize("x", ["", "é" * 9, "a" * 5 + "🙂" * 9, "a🙂" * 9, "🙂" * 2, "a" * 6 + "🙂", "a" * 7 + "🙂"])
+def test_head_units(spark, x):
+    want = x.encode("utf-16-be")[:16].decode("utf-16-be", errors="ignore")
+    assert spark.createDataFrame([(x,)], "x string").select(T.head_units(F.col("x"), 8)).first()[0] == want
+
+
+def test_signal_is_the_start_of_the_text(spark):
+    rows = [(8, "a.pdf", "navigo " + "x" * 3000), (28, "a.pdf", "y" * 3950 + " navigo " + "z" * 900), (48, "a.pdf", "y" * 5000 + " navigo")]
+    docs = spark.createDataFrame(rows, "id long, original_filename string, raw_text string")
+    assert sorted(r["id"] for r in W.C.overlay_match(W._signal(docs)).collect()) == [8, 28]
