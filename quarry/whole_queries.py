@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import head_units
 from quarry.operators import classify as C
-from quarry.queries import _REG, _docs, _pick, _s
+from quarry.operators.decision import DOMAINS, PATTERNS, decided
+from quarry.queries import _REG, TODAY, _dates, _docs, _pick, _re, _s
 from quarry.sources import registry as R
 
 #: Fixed value: how many UTF-16 units of a text the classifier reads.
@@ -24,6 +25,7 @@ def _signal(docs: DataFrame) -> DataFrame:
 
 QUERIES = {
     "overlay_match_whole": _docs(lambda d: C.overlay_match(_signal(d))),
+    "rule_classify_whole": _docs(lambda d: decided(_signal(d), TODAY)),
 }
 
 # --- SQL ---------------------------------------------------------------------------------------------------------
@@ -33,8 +35,41 @@ _WIDE = r"[\x{10000}-\x{10FFFF}]"
 _HEAD = f"replace(regexp_replace(left(regexp_replace({_pick(R.PHRASES, 'id')} || ' ' || raw_text, '({_WIDE})', '\\1' || chr(65535), 'g'), {UNITS_READ}), '{_WIDE}$', ''), chr(65535), '')"
 _COMBINED = f"lower(original_filename || ' ' || {_HEAD})"
 
+_RULED = f"h AS (SELECT id, lower(original_filename) AS n, {_COMBINED} AS c FROM r), f AS (SELECT id, c, CASE " + " ".join(f"WHEN regexp_matches({'n' if scope == 'filename' else 'c'}, '(^|[^\\p{{L}}]){w}($|[^\\p{{L}}])') THEN {{'k': {_s(w)}, 'c': {_s(c)}, 's': {_s(s)}}}" for w, c, s, scope in C.OVERLAY if s) + " END AS x FROM h)"
+
+
+def _has(name: str) -> str:
+    return f"regexp_matches(c, '{_re(PATTERNS[name])}')"
+
+
+def _listed(*domains: str) -> str:
+    """Slug of the first entity in the order of domains, then of the dictionary."""
+    return "CASE " + " ".join(f"WHEN regexp_matches(c, '(^|[^\\p{{L}}\\p{{N}}]){n}($|[^\\p{{L}}\\p{{N}}])') THEN {_s(slug)}" for domain in domains for d, slug, n in C.ENTITIES if d == domain) + " END"
+
+
+def _named(names: str, rest: str) -> str:
+    return "CASE " + " ".join(f"WHEN {_has(n)} THEN '{n}'" for n in names.split()) + f" ELSE {rest} END"
+
+
+_CNI = "regexp_matches(c, '(^|[^\\p{L}])cni($|[^\\p{L}])')"
+_VENDORS = "sfr edf engie cdiscount amazon"
+#: The branch of a text, then what it gives.
+_BRANCH = f"""CASE WHEN x IS NOT NULL AND (x.c = 'bank' OR NOT {_has("bank")}) AND (x.c = 'administrative' OR NOT ({_has("tax_notice")} OR ({_has("tax_property")} AND {_has("tax_second_sign")}))) AND (x.c = 'bulletin_salaire' OR NOT {_has("payslip_sign")}) THEN 'overlay'
+WHEN {_has("bank")} OR coalesce(x.c = 'bank', false) THEN 'bank' WHEN {_has("fines")} THEN 'fines' WHEN {_has("payslip")} THEN 'payslip' WHEN {_has("internship")} THEN 'internship' WHEN {_has("two_ddoc")} THEN 'two_ddoc' WHEN {_has("contracts")} THEN 'contracts'
+WHEN {_has("identity")} OR {_CNI} THEN 'identity' WHEN {_has("health")} THEN 'health' WHEN {_has("housing")} THEN 'housing' WHEN {_has("education")} THEN 'education' WHEN {_has("invoices")} THEN 'invoices' WHEN {_has("taxes")} THEN 'taxes' WHEN ({_listed("gov")}) IS NOT NULL THEN 'gov'
+WHEN {_has("insurance")} OR ({_listed("insurance")}) IS NOT NULL THEN 'insurance' WHEN ({_listed("banks")}) IS NOT NULL THEN 'banks' WHEN {_has("recruitment")} THEN 'recruitment' WHEN {_has("correspondence")} THEN 'correspondence' WHEN {_has("technical")} THEN 'technical' WHEN {_has("reports")} THEN 'reports' ELSE 'none' END"""
+_GIVEN = f"""CASE b WHEN 'overlay' THEN x.c WHEN 'fines' THEN 'administrative' WHEN 'payslip' THEN 'bulletin_salaire' WHEN 'internship' THEN 'education' WHEN 'two_ddoc' THEN 'housing' WHEN 'housing' THEN CASE WHEN {_has("navigo")} THEN 'administrative' ELSE 'housing' END
+WHEN 'invoices' THEN CASE WHEN ({_named(_VENDORS, _listed("telecom", "energy"))}) IS NULL AND ({_listed("insurance")}) IS NOT NULL THEN 'insurance' WHEN {_has("client_invoice")} THEN 'factures_clients' ELSE 'invoices' END
+WHEN 'taxes' THEN 'administrative' WHEN 'gov' THEN 'administrative' WHEN 'banks' THEN 'bank' WHEN 'none' THEN 'administrative' ELSE b END AS category,
+CASE b WHEN 'overlay' THEN x.s WHEN 'bank' THEN {_named("bnp_paribas credit_mutuel societe_generale boursobank lcl la_banque_postale", f"coalesce({_listed('banks')}, 'releve_bancaire')")} WHEN 'fines' THEN 'amende' WHEN 'payslip' THEN coalesce({_listed(*DOMAINS)}, 'employeur') WHEN 'internship' THEN 'attestation_stage' WHEN 'two_ddoc' THEN 'justificatif_domicile'
+WHEN 'contracts' THEN {_named("conditions_generales attestation_employeur statuts_societe mandat_sepa", "'cdi_cdd'")} WHEN 'identity' THEN {_named("passeport recipisse_sejour titre_sejour carte_vitale permis_conduire carte_grise carte_identite", f"CASE WHEN {_CNI} THEN 'carte_identite' WHEN {_has('acte_mariage')} THEN 'acte_mariage' ELSE 'general' END")}
+WHEN 'health' THEN {_named("arret_travail ameli", f"coalesce({_listed('health')}, 'general')")} WHEN 'housing' THEN CASE WHEN {_has("navigo")} THEN 'navigo' ELSE 'justificatif_domicile' END WHEN 'education' THEN {_named("alternance releve_notes diplomes", f"coalesce({_listed(*DOMAINS)}, 'general')")}
+WHEN 'invoices' THEN {_named(_VENDORS, f"coalesce({_listed('telecom', 'energy')}, {_listed('insurance')}, 'general')")} WHEN 'taxes' THEN {_named("kbis dossier_administratif", "'impot'")} WHEN 'gov' THEN {_listed("gov")}
+WHEN 'insurance' THEN {_named("declaration_vol allianz", f"coalesce({_listed('insurance')}, 'general')")} WHEN 'banks' THEN {_listed("banks")} ELSE 'general' END AS subcategory"""
+_CLASSIFIED = f"""k AS (SELECT *, {_BRANCH} AS b FROM f), z AS (SELECT id, {_GIVEN}, {_dates()} AS date, CASE WHEN regexp_matches(c, '{C.PAID}') THEN 'PAID' WHEN regexp_matches(c, '{C.UNPAID}') THEN 'UNPAID' ELSE 'UNKNOWN' END AS payment FROM k)
+SELECT *, CASE category WHEN 'invoices' THEN 'SUPPLIER' WHEN 'factures_clients' THEN 'CLIENT' ELSE 'NONE' END AS invoice_type FROM z"""
+
 ORACLE_SQL = {
-    "overlay_match_whole": f"WITH {_REG}, h AS (SELECT id, lower(original_filename) AS n, {_COMBINED} AS c FROM r), f AS (SELECT id, CASE "
-    + " ".join(f"WHEN regexp_matches({'n' if scope == 'filename' else 'c'}, '(^|[^\\p{{L}}]){w}($|[^\\p{{L}}])') THEN {{'k': {_s(w)}, 'c': {_s(c)}, 's': {_s(s)}}}" for w, c, s, scope in C.OVERLAY if s)
-    + " END AS x FROM h) SELECT id, x.k AS keyword, x.c AS category, x.s AS subcategory FROM f WHERE x IS NOT NULL",
+    "overlay_match_whole": f"WITH {_REG}, {_RULED} SELECT id, x.k AS keyword, x.c AS category, x.s AS subcategory FROM f WHERE x IS NOT NULL",
+    "rule_classify_whole": f"WITH {_REG}, {_RULED}, {_CLASSIFIED}",
 }

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quarry import whole_queries as W
 from quarry.functions import text as T
+from quarry.operators.decision import decided
 from quarry.whole_queries import ORACLE_SQL, QUERIES
 from tests.conftest import SF
 
@@ -24,3 +25,37 @@ def test_signal_is_the_start_of_the_text(spark):
     rows = [(8, "a.pdf", "navigo " + "x" * 3000), (28, "a.pdf", "y" * 3950 + " navigo " + "z" * 900), (48, "a.pdf", "y" * 5000 + " navigo")]
     docs = spark.createDataFrame(rows, "id long, original_filename string, raw_text string")
     assert sorted(r["id"] for r in W.C.overlay_match(W._signal(docs)).collect()) == [8, 28]
+
+
+DECIDED = [
+    ("x.pdf", "facture client n° 7 edf", "factures_clients", "edf"), ("x.pdf", "facture allianz", "insurance", "allianz"), ("x.pdf", "facture client", "factures_clients", "general"),
+    ("x.pdf", "carte grise, cession du véhicule", "identity", "carte_grise"), ("x.pdf", "récépissé", "identity", "recipisse_sejour"), ("x.pdf", "cni", "identity", "carte_identite"), ("x.pdf", "cnil", "administrative", "general"), ("x.pdf", "livret de famille", "identity", "general"),
+    ("x.pdf", "attestation employeur", "contracts", "attestation_employeur"), ("x.pdf", "acte de société", "administrative", "general"), ("x.pdf", "acte de societe", "contracts", "statuts_societe"), ("x.pdf", "dossier-rempli", "administrative", "dossier_administratif"),
+    ("x.pdf", "paystub", "bulletin_salaire", "employeur"), ("x.pdf", "wage statement edf", "bulletin_salaire", "edf"), ("x.pdf", "balance due", "invoices", "general"), ("x.pdf", "relevé de chèques", "bank", "releve_bancaire"),
+    ("x.pdf", "antai", "administrative", "amende"), ("x.pdf", "bnp", "bank", "bnp_paribas"), ("x.pdf", "formation sfr", "education", "sfr"), ("x.pdf", "mutuelle allianz", "health", "general"), ("x.pdf", "ameli", "health", "ameli"),
+    ("northwind.pdf", "rien", "education", "northwind"), ("northwind.pdf", "relevé de compte", "bank", "releve_bancaire"), ("northwind.pdf", "finances publiques", "administrative", "impot"), ("northwind.pdf", "taxe fonciere", "education", "northwind"), ("northwind.pdf", "taxe fonciere, somme a payer", "administrative", "impot"), ("northwind.pdf", "net a payer", "administrative", "general"),
+    ("x.pdf", "navigo", "administrative", "navigo"), ("x.pdf", "quittance de loyer", "housing", "justificatif_domicile"), ("x.pdf", "visa de long séjour", "identity", "titre_sejour"), ("x.pdf", "cover letter", "recruitment", "general"), ("x.pdf", "rien", "administrative", "general"),
+]
+
+
+@pytest.fixture(scope="module")
+def decisions(spark):
+    docs = spark.createDataFrame([(i, n, t) for i, (n, t, *_) in enumerate(DECIDED)], "id long, original_filename string, signal string")
+    return {r["id"]: r for r in decided(docs, "2026-02-01").collect()}
+
+
+def test_decision_list(decisions):
+    wrong = {DECIDED[i][:2]: (r["category"], r["subcategory"]) for i, r in decisions.items() if (r["category"], r["subcategory"]) != DECIDED[i][2:]}
+    assert len(decisions) == len(DECIDED) and not wrong
+    assert decisions[0]["invoice_type"] == "CLIENT"
+
+
+def test_decision_sql_on_the_cases(decisions):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE r(id BIGINT, original_filename VARCHAR, c VARCHAR, n VARCHAR)")
+    con.executemany("INSERT INTO r VALUES (?, ?, ?, ?)", [(i, n, f"{n} {t}", n) for i, (n, t, *_) in enumerate(DECIDED)])
+    ruled = W._RULED[W._RULED.index("f AS (") :].replace("FROM h)", "FROM r)")
+    found = con.execute(f"WITH {ruled}, {W._CLASSIFIED}").fetchall()
+    assert sorted(found) == sorted(tuple(r) for r in decisions.values())
