@@ -12,6 +12,9 @@ UNITS = "kW kWh kVA kWc kWp kVAr kVar kV kB kHz kPa hPa cSt dBm cGy mGy mSv mV m
 #: The corruption scan's window, step, least words, least matches and least share.
 WINDOW, STEP, LEAST_WORDS, LEAST_MATCHES, LEAST_SHARE = 100, 50, 60, 6, 0.08
 
+#: Fixed value: the share of distinctive tokens that Markdown must keep.
+LEAST_RECALL = 0.55
+
 
 def clean(c: Column) -> Column:
     """Empty below 10 bytes; without NUL, with LF line ends, at most one blank line in a row, trimmed."""
@@ -143,13 +146,15 @@ def audit(docs: DataFrame) -> DataFrame:
 
 
 def gate(docs: DataFrame) -> DataFrame:
-    """(id, passed, failures) from (id, text): noise, corruption, malformed lines, ragged rows and tables without header."""
-    bad = corruption(docs).select("id", "corrupted")
-    tables = audit(docs).select("id", "data_rows", "ragged", "headerless")
-    p = prose(F.col("text"))
-    rows = docs.select("id", p.alias("p"), malformed_lines("text").alias("malformed")).join(bad, "id").join(tables, "id", "left").na.fill(0)
+    """(id, passed, failures) from (id, raw, markdown): noise and corruption of the raw text; malformed lines, ragged rows, tables without header and lost content of the Markdown."""
+    bad = corruption(docs.select("id", F.col("raw").alias("text"))).select("id", "corrupted")
+    tables = audit(docs.select("id", F.col("markdown").alias("text"))).select("id", "data_rows", "ragged", "headerless")
+    kept = recall(docs.select("id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("raw", "markdown")))).select("id", "recall", "measurable")
+    p = prose(F.col("raw"))
+    rows = docs.select("id", p.alias("p"), malformed_lines("markdown").alias("malformed")).join(bad, "id").join(kept, "id").join(tables, "id", "left").na.fill(0)
     ragged = (F.col("ragged") >= 4) | ((F.col("data_rows") >= 6) & (F.col("ragged") / F.col("data_rows") >= 0.5))
-    tests = [("noise", (F.col("p.tokens") >= 50) & (F.col("p.score") <= 1)), ("corrupted", F.col("corrupted")), ("malformed", F.col("malformed") >= 4), ("ragged", ragged), ("headerless", F.col("headerless") >= 2)]
+    lost = F.col("measurable") & (F.col("recall") < LEAST_RECALL)
+    tests = [("noise", (F.col("p.tokens") >= 50) & (F.col("p.score") <= 1)), ("corrupted", F.col("corrupted")), ("malformed", F.col("malformed") >= 4), ("ragged", ragged), ("headerless", F.col("headerless") >= 2), ("content-loss", lost)]
     failed = F.array_compact(F.array(*(F.when(t, n) for n, t in tests)))
     return rows.select("id", (F.size(failed) == 0).alias("passed"), F.array_join(failed, ",").alias("failures"))
 

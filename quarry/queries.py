@@ -121,7 +121,7 @@ QUERIES = {
     "md_edge_pipes": lambda s, d: _tabled(s, d).select("id", F.md5(Q.edge_pipes("text")).alias("md5")),
     "md_table_audit": lambda s, d: Q.audit(_tabled(s, d)),
     "md_table_blocks": lambda s, d: Q.table_blocks(_tabled(s, d)),
-    "quality_gate": lambda s, d: Q.gate(_tabled(s, d)),
+    "quality_gate": lambda s, d: Q.gate(_tabled(s, d).select("id", F.col("text").alias("raw"), F.col("text").alias("markdown"))),
     "scalar_functions": _docs(scalars),
     "entity_match": lambda s, d: C.entity_match(R.registry(s, d).select("id", F.col("raw_text").alias("text")), C.dictionary(s)),
     "overlay_match": _docs(lambda d: C.overlay_match(_signal(d))),

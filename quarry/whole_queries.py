@@ -5,13 +5,14 @@ The SQL of the namesakes makes the same cuts and stays as it is, so the whole jo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import head_units
 from quarry.operators import classify as C
+from quarry.operators import quality as Q
 from quarry.operators.decision import DOMAINS, PATTERNS, decided
-from quarry.queries import _REG, TODAY, _dates, _docs, _pick, _re, _s
+from quarry.queries import _AUDIT, _MALFORMED, _PROSE, _REG, _TAB, _WS, TODAY, _corrupt, _dates, _docs, _pick, _re, _s, _tabled, _tr
 from quarry.sources import registry as R
 
 #: Fixed value: how many UTF-16 units of a text the classifier reads.
@@ -23,9 +24,23 @@ def _signal(docs: DataFrame) -> DataFrame:
     return docs.withColumn("signal", head_units(F.concat(R.dealt(R.PHRASES, F.col("id")), F.lit(" "), F.col("raw_text")), UNITS_READ))
 
 
+#: Markdown that lost words all over, by the remainder of the id by 4: none; those with e; those with a, e or o; those with a digit.
+LOST = [r"[^\s\S]", "[a-zà-ÿ]*e[a-zà-ÿ]*", "[a-zà-ÿ]*[aeo][a-zà-ÿ]*", r"\d+"]
+
+
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over each text with its tables and a Markdown of it that lost the words of its rule."""
+    rows = _tabled(spark, sf_dir).withColumnRenamed("text", "raw")
+    lost = F.col("raw")
+    for i, p in enumerate(LOST):
+        lost = F.when(F.col("id") % len(LOST) == i, F.regexp_replace("raw", p, "x")).otherwise(lost)
+    return Q.gate(rows.withColumn("markdown", lost))
+
+
 QUERIES = {
     "overlay_match_whole": _docs(lambda d: C.overlay_match(_signal(d))),
     "rule_classify_whole": _docs(lambda d: decided(_signal(d), TODAY)),
+    "quality_gate_whole": quality_gate,
 }
 
 # --- SQL ---------------------------------------------------------------------------------------------------------
@@ -69,7 +84,18 @@ WHEN 'insurance' THEN {_named("declaration_vol allianz", f"coalesce({_listed('in
 _CLASSIFIED = f"""k AS (SELECT *, {_BRANCH} AS b FROM f), z AS (SELECT id, {_GIVEN}, {_dates()} AS date, CASE WHEN regexp_matches(c, '{C.PAID}') THEN 'PAID' WHEN regexp_matches(c, '{C.UNPAID}') THEN 'UNPAID' ELSE 'UNKNOWN' END AS payment FROM k)
 SELECT *, CASE category WHEN 'invoices' THEN 'SUPPLIER' WHEN 'factures_clients' THEN 'CLIENT' ELSE 'NONE' END AS invoice_type FROM z"""
 
+_MARKDOWN = "CASE id % 4 " + " ".join(f"WHEN {i} THEN " + (f"regexp_replace(text, '{p}', 'x', 'g')" if i else "text") for i, p in enumerate(LOST)) + " END"
+#: The tables of the SQL pieces come from the Markdown, so the raw text has a name of its own.
+_PAIRS = _TAB.replace("tb AS (", "raws AS (", 1).replace("), ln AS", f"), tb AS (SELECT id, {_MARKDOWN} AS text FROM raws), ln AS", 1)
+_TOKENS = "regexp_extract_all(lower({0}), '[a-zà-ÿ]{{6,}}|\\d[\\d.,]{{2,}}')"
+_KEPT = f"""o AS (SELECT raws.id, list_distinct({_TOKENS.format('raws.text')}) AS o, list_distinct({_TOKENS.format('tb.text')}) AS k, list_filter(regexp_split_to_array({_tr('raws.text')}, '{_WS}+'), lambda w: w <> '') AS w, length({_tr('raws.text')}) AS ch FROM raws JOIN tb USING (id)),
+rc AS (SELECT id, len(o) >= 40 AND NOT (ch / greatest(len(w), 1) >= 25 OR len(list_filter(w, lambda x: length(x) >= 15)) / greatest(len(w), 1) >= 0.35 OR len(list_filter(w, lambda x: regexp_matches(x, '[a-zà-ÿ][A-ZÀ-Ý]'))) / greatest(len(w), 1) >= 0.05)
+AND 20 * (len(o) - len(list_filter(o, lambda t: NOT list_contains(k, t) AND length(t) < 15 AND length(t) - length(replace(t, ',', '')) < 2))) < 11 * len(o) AS lost FROM o)"""
+
 ORACLE_SQL = {
     "overlay_match_whole": f"WITH {_REG}, {_RULED} SELECT id, x.k AS keyword, x.c AS category, x.s AS subcategory FROM f WHERE x IS NOT NULL",
     "rule_classify_whole": f"WITH {_REG}, {_RULED}, {_CLASSIFIED}",
+    "quality_gate_whole": f"""WITH {_AUDIT.replace(_TAB, _PAIRS)}, {_MALFORMED}, {_PROSE % 'raws'}, {_corrupt('raws')}, {_KEPT},
+g AS (SELECT tb.id, list_filter([CASE WHEN tokens >= 50 AND score <= 1 THEN 'noise' END, CASE WHEN co.b IS NOT NULL THEN 'corrupted' END, CASE WHEN mf.n >= 4 THEN 'malformed' END, CASE WHEN au.ragged >= 4 OR (au.data_rows >= 6 AND au.ragged / au.data_rows >= 0.5) THEN 'ragged' END, CASE WHEN au.headerless >= 2 THEN 'headerless' END, CASE WHEN rc.lost THEN 'content-loss' END], lambda x: x IS NOT NULL) AS f
+FROM tb JOIN ps USING (id) JOIN co USING (id) JOIN mf USING (id) JOIN rc USING (id) LEFT JOIN au USING (id)) SELECT id, len(f) = 0 AS passed, coalesce(array_to_string(f, ','), '') AS failures FROM g""",
 }

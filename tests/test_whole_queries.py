@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quarry import whole_queries as W
 from quarry.functions import text as T
+from quarry.operators import quality as Q
 from quarry.operators.decision import decided
 from quarry.whole_queries import ORACLE_SQL, QUERIES
 from tests.conftest import SF
@@ -59,3 +60,10 @@ def test_decision_sql_on_the_cases(decisions):
     ruled = W._RULED[W._RULED.index("f AS (") :].replace("FROM h)", "FROM r)")
     found = con.execute(f"WITH {ruled}, {W._CLASSIFIED}").fetchall()
     assert sorted(found) == sorted(tuple(r) for r in decisions.values())
+
+
+def test_gate_sees_lost_content(spark):
+    words = [chr(97 + i // 26) * 3 + chr(97 + i % 26) * 4 for i in range(100)]
+    rows = [(i, " ".join(words), " ".join(words[:n])) for i, n in enumerate([100, 55, 54, 0])] + [(4, " ".join(words[:39]), "")]
+    got = {r["id"]: r["failures"] for r in Q.gate(spark.createDataFrame(rows, "id long, raw string, markdown string")).collect()}
+    assert got == {0: "", 1: "", 2: "content-loss", 3: "content-loss", 4: ""}
