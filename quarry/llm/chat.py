@@ -84,7 +84,7 @@ def read_chats(formatted: DataFrame, template: Template | None = None) -> DataFr
 
 
 def chat_digests(turns: DataFrame, template: Template | None = None) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid), read back from the output of format_chats."""
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid, broken), read back from the output of format_chats."""
     t = template or Template()
     made = format_chats(turns, t)
     loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
@@ -93,5 +93,5 @@ def chat_digests(turns: DataFrame, template: Template | None = None) -> DataFram
     roles, texts = (F.regexp_extract_all("formatted", F.lit(pattern), F.lit(i)) for i in (1, 2))
     back = F.arrays_zip(F.transform(roles, _role_in).alias("role"), F.transform(texts, unescape).alias("text"))
     whole = F.array_join(F.transform(back, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    read = made.select("conv_id", F.size(roles).cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), loss.alias("_loss"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
-    return read.select("conv_id", "n_turns", "turns_sha256", F.length("_loss").cast("long").alias("loss_chars"), F.sha2(F.col("_loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars", "valid")
+    read = made.select("conv_id", F.size(roles).cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), loss.alias("_loss"), F.length("formatted").cast("long").alias("formatted_chars"), "valid", "broken")
+    return read.select("conv_id", "n_turns", "turns_sha256", F.length("_loss").cast("long").alias("loss_chars"), F.sha2(F.col("_loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars", "valid", "broken")
