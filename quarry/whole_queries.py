@@ -37,10 +37,18 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.gate(rows.withColumn("markdown", lost))
 
 
+def blocked_upsert_prune(docs: DataFrame) -> DataFrame:
+    """Every row goes into the upsert: to the table, to the rows put in, or to both, by the remainder of its id by 3."""
+    old = docs.where("id % 3 <> 1").groupBy("original_path").agg(F.min("id").alias("size"))
+    new = docs.where("id % 3 <> 0").groupBy("original_path").agg(F.max("id").alias("size"))
+    return R.prune(R.upsert(old, new, "original_path"), docs.where("category <> 'bank'"), "original_path")
+
+
 QUERIES = {
     "overlay_match_whole": _docs(lambda d: C.overlay_match(_signal(d))),
     "rule_classify_whole": _docs(lambda d: decided(_signal(d), TODAY)),
     "quality_gate_whole": quality_gate,
+    "blocked_upsert_prune_whole": _docs(blocked_upsert_prune),
 }
 
 # --- SQL ---------------------------------------------------------------------------------------------------------
@@ -98,4 +106,5 @@ ORACLE_SQL = {
     "quality_gate_whole": f"""WITH {_AUDIT.replace(_TAB, _PAIRS)}, {_MALFORMED}, {_PROSE % 'raws'}, {_corrupt('raws')}, {_KEPT},
 g AS (SELECT tb.id, list_filter([CASE WHEN tokens >= 50 AND score <= 1 THEN 'noise' END, CASE WHEN co.b IS NOT NULL THEN 'corrupted' END, CASE WHEN mf.n >= 4 THEN 'malformed' END, CASE WHEN au.ragged >= 4 OR (au.data_rows >= 6 AND au.ragged / au.data_rows >= 0.5) THEN 'ragged' END, CASE WHEN au.headerless >= 2 THEN 'headerless' END, CASE WHEN rc.lost THEN 'content-loss' END], lambda x: x IS NOT NULL) AS f
 FROM tb JOIN ps USING (id) JOIN co USING (id) JOIN mf USING (id) JOIN rc USING (id) LEFT JOIN au USING (id)) SELECT id, len(f) = 0 AS passed, coalesce(array_to_string(f, ','), '') AS failures FROM g""",
+    "blocked_upsert_prune_whole": f"WITH {_REG} SELECT original_path, coalesce(max(id) FILTER (WHERE id % 3 IN (1, 2)), min(id) FILTER (WHERE id % 3 IN (0, 2))) AS size FROM r GROUP BY original_path HAVING bool_or(category <> 'bank')",
 }

@@ -67,3 +67,8 @@ def test_gate_sees_lost_content(spark):
     rows = [(i, " ".join(words), " ".join(words[:n])) for i, n in enumerate([100, 55, 54, 0])] + [(4, " ".join(words[:39]), "")]
     got = {r["id"]: r["failures"] for r in Q.gate(spark.createDataFrame(rows, "id long, raw string, markdown string")).collect()}
     assert got == {0: "", 1: "", 2: "content-loss", 3: "content-loss", 4: ""}
+
+
+def test_every_row_is_upserted(spark):
+    docs = spark.createDataFrame([(i, f"p{i}", "bank" if i == 5 else "x") for i in range(24)], "id long, original_path string, category string")
+    assert {r["original_path"]: r["size"] for r in W.blocked_upsert_prune(docs).collect()} == {f"p{i}": i for i in range(24) if i != 5}
