@@ -6,6 +6,7 @@ batch costs a few NumPy passes and no Python string per document.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -19,6 +20,8 @@ U64 = np.uint64
 GOLD = U64(0x9E3779B97F4A7C15)
 #: Bytes handled by one NumPy pass; temporaries are about 30 times as large.
 SLICE = 1 << 20
+#: Rows of numbers that a join broadcasts at most (about 10 MB).
+BROADCAST_ROWS = 200_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -31,10 +34,12 @@ _POWERS: list[np.ndarray] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session, or a temporary one where none is named (tests)."""
+    """The checkpoint folder of the session: the shared one that it names, or in local mode, where all share one machine, a temporary one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -45,6 +50,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_cut(*frames: DataFrame) -> None:
+    """Removes the files of frames that cut() gave and that nothing reads any more."""
+    for df in frames:
+        kept = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if kept.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(kept.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def near(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has at most `rows` rows by count; a larger one is joined by shuffle. df is a cut or a cheap frame of numbers."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until they are no columns of df, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """df, in a session that hands rows to Python a thousand at a time at most, as rows may hold long texts."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -1,30 +1,57 @@
-"""Connected components of an edge table by minimum labels and pointer jumping."""
+"""Connected components of an edge table: nodes hook onto their least neighbour, chains are jumped, roots meet again."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut
+from quarry.llm.common import BROADCAST_ROWS, cut, drop_cut, near
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _jumped(held: DataFrame, rounds: int, broadcast_rows: int) -> DataFrame:
+    """The cut frame (a, up) with up replaced by the end of its chain; each round halves the chains."""
+    for _ in range(rounds):
+        up = held.select("a", "up")
+        above = up.select(F.col("a").alias("up"), F.col("up").alias("top"))
+        moved = cut(up.join(near(above, broadcast_rows), "up", "left").select("a", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
+        drop_cut(held)
+        held = moved
+        if held.where("moved").isEmpty():
+            return held
+    raise RuntimeError(f"chains are left after {rounds} rounds")
+
+
+def connected_components(edges: DataFrame, rounds: int = 60, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(node, component) for each node of edges (a long, b long); component is the smallest node reachable.
 
-    Each round gives a node the least label among its own, its neighbours'
-    and its label's label, so paths shrink as powers of two. Labels are cut
-    to the checkpoint folder each round; only the count of changes reaches
-    the driver. Null ends and loops are ignored; an empty table gives one.
+    Each round hooks every node that has a smaller neighbour onto the least
+    one, follows these hooks to their ends, and goes on with the edges that
+    still join different ends, once each: at least half of the nodes that
+    have edges are no ends, and stars are done in one round. Tables of up to
+    broadcast_rows nodes are broadcast, so that edges aren't shuffled again
+    and a node with very many edges is no hot key; larger ones are joined by
+    shuffle, where Spark splits a hot side. Only counts reach the driver, and
+    the files of finished rounds are removed. Null ends and loops are
+    ignored, repeated edges count once; an empty table gives an empty one.
     """
-    edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
-    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("l")).select("node", F.least("node", "l").alias("component")))
+    ordered = lambda x: x.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    left = cut(ordered(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")))
+    none, levels = left.limit(0).select(F.col("a").alias("node"), F.col("b").alias("component")), []
     for _ in range(rounds):
-        heard = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
-        nearer = labels.join(heard, "node").select("node", F.col("component").alias("was"), F.least("component", "heard").alias("mid"))
-        above = labels.select(F.col("node").alias("mid"), F.col("component").alias("top"))
-        moved = cut(nearer.join(above, "mid", "left").select("node", "was", F.least("mid", F.coalesce("top", "mid")).alias("component")))
-        labels = moved.select("node", "component")
-        if moved.where("was <> component").limit(1).count() == 0:
-            return labels
-    raise RuntimeError(f"labels still change after {rounds} rounds")
+        if left.isEmpty():
+            break
+        ends = _jumped(cut(left.groupBy("a").agg(F.min("b").alias("up"))), rounds, broadcast_rows).select("a", "up")
+        levels.append(ends)
+        of_b = ends.select(F.col("a").alias("b"), F.col("up").alias("end"))
+        met = left.join(near(ends, broadcast_rows), "a").join(near(of_b, broadcast_rows), "b", "left").select(F.col("up").alias("a"), F.coalesce("end", "b").alias("b"))
+        done, left = left, cut(ordered(met.where("a <> b")))
+        drop_cut(done)
+    else:
+        raise RuntimeError(f"edges are left after {rounds} rounds")
+    if not levels:
+        return none
+    found = levels.pop()
+    while levels:
+        top = found.select(F.col("a").alias("up"), F.col("up").alias("top"))
+        found = cut(levels.pop().join(near(top, broadcast_rows), "up", "left").select("a", F.coalesce("top", "up").alias("up")).unionByName(found))
+    return found.select(F.col("a").alias("node"), F.col("up").alias("component")).unionByName(found.select(F.col("up").alias("node"), F.col("up").alias("component")).distinct())

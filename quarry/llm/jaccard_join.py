@@ -6,9 +6,9 @@ of coordinate minima bounds the overlap of the two sets from above, so an
 R-tree whose nodes keep coordinate maxima prunes pairs and whole subtrees,
 and only survivors are compared shingle by shingle.
 
-A tree over a corpus of unrelated texts would prune little (points of random
-sets lie close together), so the corpus is first split into blocks between
-which no link is possible, by the same groups: two sets that link differ in at
+A tree prunes what it is asked to compare, but two trees of a whole corpus
+would be compared by every pair of their tasks, so the corpus is first split
+into blocks between which no link is possible, by the same groups: two sets that link differ in at
 most d elements, so of G > d groups at least G - d hold the same elements in
 both. Documents that agree on the contents of a group get a star edge to the
 least such document; connected components of these edges, by bands of size,
@@ -30,15 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import GOLD, U64, batches, cut, mix, partitions, slots, small_batches, text_bytes, word_hashes
+from quarry.llm.common import BROADCAST_ROWS, GOLD, U64, batches, cut, drop_cut, fresh, mix, near, slots, small_batches, text_bytes, word_hashes
 from quarry.llm.components import connected_components
 
-#: Least dimensions of a point, and shingles for each dimension of a longer document's.
-DIMS, PER_DIM = 64, 16
+#: Least dimensions of a point, and shingles for each dimension of a longer document's: with few in a group, the minima of unrelated sets add up to little.
+DIMS, PER_DIM = 64, 4
+#: Bytes of text whose keys meet in one task, the least number of such parts, and bytes of a key beside its part.
+PART_TEXT, PARTS, KEY = 1 << 25, 12, 6
 #: Documents of a part of a block whose points are compared in one task with as many others.
 PART_POINTS = 2048
 #: Bytes of points of such a part at most (long documents have long points), and cells of points that are looked at in one go.
-PART_BYTES, CELLS = 1 << 23, 1 << 20
+PART_BYTES, CELLS = 1 << 22, 1 << 20
 LEAF, FANOUT = 16, 8
 
 
@@ -103,15 +105,32 @@ def dims(n: int) -> int:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """Counts of the shingles by group; groups are the first bits of the hash."""
+    """Counts of the shingles by group, in bytes or, if one is above 255, in two bytes each; groups are the first bits of the hash."""
     bits = dims(len(s)).bit_length() - 1
-    return np.bincount((s >> U64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
+    counts = np.bincount((s >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint16)
 
 
 def folded(points: list[np.ndarray]) -> np.ndarray:
     """Points of one dimension, the least of theirs: neighbouring groups add up."""
     least = min(len(p) for p in points)
-    return np.stack([p.reshape(least, -1).sum(1) for p in points]).astype(np.int32)
+    out = np.stack([p.reshape(least, -1).sum(1) for p in points])
+    return out.astype(np.uint8 if out.max() < 256 else np.int32)
+
+
+def packed(values: np.ndarray) -> tuple[int, bytes]:
+    """The least of int64 values, and of each value its distance from it in as few bytes as the largest distance needs."""
+    base = int(values.min())
+    far = values.view(U64) - values.min().view(U64)
+    width = max(1, (int(far.max()).bit_length() + 7) // 8)
+    return base, far.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(base: int, data: bytes, n: int) -> np.ndarray:
+    """What packed() was given, n values."""
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(n, -1)
+    return (out.view(U64).ravel() + np.array([base], np.int64).view(U64)).view(np.int64)
 
 
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
@@ -140,12 +159,14 @@ def band_keys(s: np.ndarray, t: Threshold, bands: list) -> np.ndarray:
 
 
 def _first_of(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys once each with their least node, and star edges (2, m) that join the nodes of each key."""
-    order = np.lexsort((nodes, keys))
+    """Keys once each with their least node, and edges (2, m) that join the nodes of each key."""
+    order = np.argsort(keys)
     keys, nodes = keys[order], nodes[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    least = np.repeat(nodes[first], np.diff(np.append(first, len(keys))))
-    return keys[first], nodes[first], _gathered(np.stack([nodes, least])[:, nodes != least])
+    least = np.minimum.reduceat(nodes, first) if len(keys) else nodes
+    every = np.repeat(least, np.diff(np.append(first, len(keys))))
+    apart = nodes != every
+    return keys[first], least, _gathered(np.stack([nodes[apart], every[apart]]))
 
 
 def _gathered(edges: np.ndarray) -> np.ndarray:
@@ -157,7 +178,7 @@ def _gathered(edges: np.ndarray) -> np.ndarray:
     return np.stack([names, root])[:, names != root]
 
 
-_MAPPED = "pid int, kind int, keys binary, nodes binary, n binary, f1 binary, f2 binary"
+_MAPPED = "pid int, kind int, base long, keys binary, nodes binary, n binary, f1 binary, f2 binary"
 _TABLE = "kind int, a long, b long, n long, f1 long, f2 long, point binary"
 
 
@@ -165,12 +186,19 @@ def _map(it: Iterator[pa.RecordBatch], t: Threshold, pids: int) -> Iterator[pa.R
     """Rows of documents (kind 0), edges within the task (kind 1) and, by part, a task's distinct keys (kind 2).
 
     Copies within the task are known by fingerprint and give keys once; a key
-    leaves the task once, however many of its documents hold it.
+    leaves the task once, however many of its documents hold it: as KEY bytes,
+    as its part stands for the first ones, and as few bytes of its node as the
+    nodes of a row need. Sets of more than 255 shingles in a group have points
+    of two bytes a group (n * 2 + 1 stands for the size).
     """
-    schema = pa.schema([("pid", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("keys", "nodes", "n", "f1", "f2"))])
+    schema = pa.schema([("pid", pa.int32()), ("kind", pa.int32()), ("base", pa.int64()), *((c, pa.binary()) for c in ("keys", "nodes", "n", "f1", "f2"))])
+
+    def row(pid: int, kind: int, base: int = 0, **columns: np.ndarray | bytes) -> dict:
+        return {"pid": pid, "kind": kind, "base": base} | {c: x.tobytes() if isinstance(x := columns.get(c), np.ndarray) else x for c in schema.names[3:]}
 
-    def row(pid: int, kind: int, **columns: np.ndarray) -> dict:
-        return {"pid": pid, "kind": kind} | {c: (columns[c].tobytes() if c in columns else None) for c in schema.names[2:]}
+    def keyed(pid: int, keys: np.ndarray, nodes: np.ndarray) -> dict:
+        base, near_base = packed(nodes)
+        return row(pid, 2, base, keys=keys.view(np.uint8).reshape(-1, 8)[:, :KEY].tobytes(), nodes=near_base)
 
     bands, seen, held, size = t.bands(1 << 12), set(), [], 0
 
@@ -184,7 +212,7 @@ def _map(it: Iterator[pa.RecordBatch], t: Threshold, pids: int) -> Iterator[pa.R
         out = [row(int(edges[0, 0] % pids), 1, nodes=edges[0], n=edges[1])] if edges.size else []
         pid = ((keys >> U64(32)) * U64(pids)) >> U64(32)
         at = np.searchsorted(pid, np.arange(pids + 1, dtype=U64))
-        return out + [row(p, 2, keys=keys[a:b], nodes=nodes[a:b]) for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+        return out + [keyed(p, keys[a:b], nodes[a:b]) for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
 
     for whole in it:
         for batch in batches(whole, "text", 1 << 21):
@@ -209,7 +237,7 @@ def _map(it: Iterator[pa.RecordBatch], t: Threshold, pids: int) -> Iterator[pa.R
             if there.any():
                 nodes = np.array([x for x in ids.to_pylist() if x is not None], np.int64)
                 part = int(mix(nodes.view(U64)).min() % U64(pids))  # by ids, not texts, as a text may be in any number of rows
-                out = [row(part, 0, nodes=nodes, n=np.array(n, np.int64)[there], f1=f1[there], f2=f2[there], keys=np.concatenate([p for p, ok in zip(points, there, strict=True) if ok]))]
+                out = [row(part, 0, nodes=nodes, n=np.array([2 * x + (p.itemsize > 1) for x, p in zip(n, points, strict=True)], np.int64)[there], f1=f1[there], f2=f2[there], keys=b"".join(p.tobytes() for p, ok in zip(points, there, strict=True) if ok))]
                 yield pa.RecordBatch.from_pylist(out, schema)
             if size >= 1 << 20:
                 yield pa.RecordBatch.from_pylist(flush(), schema)
@@ -226,8 +254,11 @@ def _reduce(table: pa.Table) -> pa.Table:
     keys, nodes = [], []
     for i, kind in enumerate(columns["kind"]):
         if kind == 2:
-            keys.append(np.frombuffer(columns["keys"][i], U64))
-            nodes.append(ints(columns["nodes"][i]))
+            n = len(columns["keys"][i]) // KEY
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, :KEY] = np.frombuffer(columns["keys"][i], np.uint8).reshape(n, KEY)
+            keys.append(wide.view(U64).ravel())
+            nodes.append(unpacked(columns["base"][i], columns["nodes"][i], n))
         elif kind == 1:
             parts.append((1, ints(columns["nodes"][i]), ints(columns["n"][i])))
         else:
@@ -238,7 +269,8 @@ def _reduce(table: pa.Table) -> pa.Table:
     out = []
     for kind, a, b, *rest in parts:
         n, f1, f2, packed = rest or [np.zeros(len(a), np.int64)] * 3 + [b""]
-        at = np.concatenate([[0], np.cumsum([2 * dims(int(x)) for x in n])]) if kind == 0 else np.zeros(len(a) + 1, np.int64)
+        at = np.concatenate([[0], np.cumsum([dims(int(x >> 1)) << int(x & 1) for x in n])]) if kind == 0 else np.zeros(len(a) + 1, np.int64)
+        n = n >> 1
         points = pa.array([packed[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
         out.append(pa.table({"kind": pa.array(np.full(len(a), kind, np.int32)), "a": a, "b": b, "n": n, "f1": f1, "f2": f2, "point": points}))
     return pa.concat_tables(out)
@@ -272,7 +304,7 @@ class CountTree:
                 x, y = a[i : i + step], b[i : i + step]
                 near = (most_a[x] * t.den >= least_b[y] * t.num) & (most_b[y] * t.den >= least_a[x] * t.num)
                 x, y = x[near], y[near]
-                bound = np.minimum(high_a[x], high_b[y]).sum(1)
+                bound = np.minimum(high_a[x], high_b[y]).sum(1, dtype=np.int64)
                 ok = bound >= t.overlap(least_a[x] + least_b[y])
                 keep.append((x[ok], y[ok]))
             a, b = (np.concatenate([k[j] for k in keep] or [a[:0]]) for j in (0, 1))
@@ -360,7 +392,7 @@ def _sift(table: pa.Table, t: Threshold) -> pa.Table:
     that reach it; two of the latter meet in their own band.
     """
     nodes, n, own = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "n", "own"))
-    points = [np.frombuffer(x, np.uint16) for x in table.column("point").to_pylist()]
+    points = [np.frombuffer(x, np.uint8 if len(x) == dims(int(k)) else np.uint16) for x, k in zip(table.column("point").to_pylist(), n, strict=True)]
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for rows, split in _blocks(table):
         i, j = _survivors([points[r] for r in rows], n[rows], split, t)
@@ -421,64 +453,69 @@ def _sets(it: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict(columns).filter(keep)
 
 
-def jaccard_join(docs: DataFrame, threshold: Threshold | None = None, part_size: int = 1 << 20, broadcast_rows: int = 2_000_000) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: Threshold | None = None, part_size: int = 1 << 20, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each row of docs (doc_id long, text string): doc_id, n_shingles, component_id, n_links, copy_of.
 
     n_shingles is the size of the row's set, component_id the least doc_id
     reachable by links, n_links the number of other documents it links with,
     copy_of the least doc_id with the same set. Other columns of docs are not
     read. part_size bounds the shingles (a document counts as 512 at least)
-    that a task compares with as many others; broadcast_rows bounds the table
-    of documents to be compared that is broadcast, a larger one is shuffled.
+    that a task compares with as many others; broadcast_rows bounds each table
+    of numbers that a join broadcasts, larger ones are shuffled.
 
     Null and blank texts have no shingles and link with nothing. A null
     doc_id has a null component and takes no part. Rows with one doc_id are
     one document: it has the links of all its rows, and identical rows link
     it to itself no further. An empty table gives an empty one. Links are
-    exact but for collisions of 64-bit hashes of shingles.
+    exact but for collisions of 64-bit hashes of shingles; collisions of keys
+    only merge blocks, which are compared all the same.
     """
     t = threshold or Threshold()
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pids = 2 * partitions(docs)
+    few = lambda x: near(x, broadcast_rows)
+    components = lambda x: connected_components(x, broadcast_rows=broadcast_rows).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    # parts go by the bytes of the texts, so that a part's work is the same at every size
+    pids = max(PARTS, math.ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / PART_TEXT))
     mapped = docs.mapInArrow(lambda it: _map(it, t, pids), _MAPPED)
     table = cut(mapped.repartition(pids, "pid").groupBy("pid").applyInArrow(_reduce, _TABLE))
     rows = table.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "f1", "f2")
-    # one row for each document and set, then one for each set
-    each = rows.distinct()
-    sets = each.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    member = cut(each.join(sets, ["f1", "f2", "n"], "left").select("doc_id", "n", "f1", "f2", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")))
-    stars = table.where("kind = 1").select("a", "b").unionByName(member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    agreed = connected_components(stars)
-    named = lambda x: x.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    # one row for each document and set, then one for each set that several documents have; blank texts have none
+    each = cut(rows.distinct())
+    copied = cut(each.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
+    of_set = each.where("n > 0").join(few(copied), ["f1", "f2", "n"], "left").select("doc_id", "n", "f1", "f2", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    member = cut(of_set.unionByName(each.where("n = 0").select("*", F.col("doc_id").alias("rep"), F.lit(1).cast("long").alias("copies"))))
+    drop_cut(each, copied)
+    agreed = components(table.where("kind = 1").select("a", "b").unionByName(member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     reps = member.where("doc_id = rep").select("rep", "n", "f1", "f2", "copies")
-    points = table.where("kind = 0").select(F.col("a").alias("rep"), "f1", "f2", "point").dropDuplicates(["rep", "f1", "f2"])
-    several = reps.join(named(agreed), "rep").join(named(agreed).join(reps, "rep").groupBy("comp").agg(F.count("*").alias("sets")).where("sets > 1"), "comp")
-    longest = rows.agg(F.max("n")).first()[0] or 1
+    tagged = cut(reps.join(few(agreed), "rep"))
+    several = tagged.join(few(cut(tagged.groupBy("comp").count().where("count > 1").select("comp"))), "comp")
+    points = table.where("kind = 0").select(F.col("a").alias("rep"), "f1", "f2", "point")
+    pointed = cut(points.join(few(several), ["rep", "f1", "f2"]).dropDuplicates(["rep", "f1", "f2"]).select("rep", "n", "point", "comp"))
+    longest = member.agg(F.max("n")).first()[0] or 1
     bands = F.array(*(F.struct(F.lit(i).alias("band"), F.lit(low).alias("low"), F.lit(high).alias("high")) for i, (low, high, *_) in enumerate(t.bands(longest))))
     size = F.col("n")
     mine_or_next = F.filter(bands, lambda b: ((b["low"] <= size) & (size < b["high"])) | ((size < b["low"]) & (size * t.den >= b["low"] * t.num)))
-    banded = several.join(points, ["rep", "f1", "f2"]).select("rep", "n", "point", "comp", F.explode(mine_or_next).alias("b")).select("rep", "n", "point", F.xxhash64("comp", "b.band").alias("comp"), (F.col("b.low") <= F.col("n")).alias("own"))
-    met = banded.groupBy("comp").agg(F.count("*").alias("sets"), F.sum(F.length("point")).alias("bytes")).where("sets > 1")
-    banded = cut(banded.join(met, "comp").withColumn("parts", F.greatest(F.ceil(F.col("sets") / PART_POINTS), F.ceil(F.col("bytes") / PART_BYTES)).cast("int")))
-    n_small, n_bytes = banded.where("parts = 1").agg(F.count("*"), F.sum(F.length("point"))).first()
-    bins = max(1, math.ceil(n_small / PART_POINTS), math.ceil((n_bytes or 0) / PART_BYTES))
-    sifted = cut(_met(banded, bins, "n", "point", "own").groupBy("task").applyInArrow(lambda x: _sift(x, t), "a long, b long"))
-    placed = reps.join(named(connected_components(sifted)), "rep")
+    banded = pointed.select("rep", "n", "point", "comp", F.explode(mine_or_next).alias("b")).select("rep", "n", "point", F.xxhash64("comp", "b.band").alias("comp"), (F.col("b.low") <= F.col("n")).alias("own"))
+    met = cut(banded.groupBy("comp").agg(F.count("*").alias("sets"), F.sum(F.length("point")).alias("bytes")).where("sets > 1").withColumn("parts", F.greatest(F.ceil(F.col("sets") / PART_POINTS), F.ceil(F.col("bytes") / PART_BYTES)).cast("int")))
+    n_small, n_bytes = met.where("parts = 1").agg(F.sum("sets"), F.sum("bytes")).first()
+    bins = max(1, math.ceil((n_small or 0) / PART_POINTS), math.ceil((n_bytes or 0) / PART_BYTES))
+    sifted = cut(_met(banded.join(few(met.select("comp", "parts")), "comp"), bins, "n", "point", "own").groupBy("task").applyInArrow(lambda x: _sift(x, t), "a long, b long"))
+    drop_cut(tagged, pointed, met)
     weight = F.greatest("n", F.lit(512))
-    held = placed.groupBy("comp").agg(F.count("*").alias("sets"), F.sum(weight).alias("weight")).where("sets > 1")
-    parts = F.ceil(F.col("weight") / part_size).cast("int")
-    todo = cut(placed.join(held.withColumn("parts", parts), "comp").select("rep", "comp", "f1", "f2", "copies", "parts", weight.alias("weight")))
-    n_todo, small = todo.agg(F.count("*"), F.sum(F.when(F.col("parts") == 1, F.col("weight")))).first()
+    placed = cut(reps.join(few(components(sifted)), "rep").withColumn("weight", weight))
+    held = placed.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("weight").alias("all")).where("sets > 1").select("comp", F.ceil(F.col("all") / part_size).cast("int").alias("parts"))
+    todo = cut(placed.join(few(cut(held)), "comp").select("rep", "comp", "f1", "f2", "copies", "parts", "weight"))
+    small = todo.where("parts = 1").agg(F.sum("weight")).first()[0]
     bins = max(1, math.ceil((small or 0) / part_size))
-    wanted = F.broadcast(todo) if n_todo <= broadcast_rows else todo
-    found = docs.join(wanted, docs.doc_id == wanted.rep).select("rep", "comp", "f1", "f2", "copies", "parts", "text")
+    found = docs.join(few(todo), F.col("doc_id") == F.col("rep")).select("rep", "comp", "f1", "f2", "copies", "parts", "text")
     k = t.words
     shingles = found.mapInArrow(lambda it: _sets(it, k), "rep long, comp long, copies long, parts int, shingles binary")
     spread = _met(shingles, bins, "copies", "shingles")
     links = cut(spread.groupBy("task").applyInArrow(lambda x: _verify(x, t), "doc long, links long, root long"))
-    joined = connected_components(links.select(F.col("doc").alias("a"), F.col("root").alias("b")))
-    linked = links.groupBy(F.col("doc").alias("rep")).agg(F.sum("links").alias("links")).join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    known = member.join(linked, "rep", "left").select("doc_id", "f1", "f2", "rep", F.coalesce("component", "rep").alias("of"), F.when(F.col("n") > 0, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0).alias("links"))
+    drop_cut(sifted, placed)
+    joined = components(links.select(F.col("doc").alias("a"), F.col("root").alias("b")))
+    linked = cut(links.groupBy(F.col("doc").alias("rep")).agg(F.sum("links").alias("links")).join(few(joined), "rep", "left"))
+    known = member.join(few(linked), "rep", "left").select("doc_id", "rep", F.coalesce("comp", "rep").alias("of"), F.when(F.col("n") > 0, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0).alias("links"))
     by_doc = known.groupBy("doc_id").agg(F.min("of").alias("component_id"), F.sum("links").alias("n_links"), F.min("rep").alias("copy_of"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(by_doc, "doc_id")
     nameless = docs.where("doc_id IS NULL").mapInArrow(lambda it: _nameless(it, k), "n_shingles long")
@@ -496,16 +533,17 @@ def one_of_each(docs: DataFrame, threshold: Threshold | None = None, broadcast_r
 
     Rows without words link with nothing and stay, as do rows with a null
     doc_id. Rows repeated with the kept doc_id stay once. All columns of docs
-    are kept. The ids that go are broadcast up to broadcast_rows of them, so
-    that texts aren't shuffled; a larger table is joined by shuffle.
+    are kept, whatever their names; an empty table gives an empty one. The ids
+    that go are broadcast up to broadcast_rows of them, so that texts aren't
+    shuffled; a larger table is joined by shuffle.
     """
+    (named,) = fresh(docs, "_id")
     found = cut(jaccard_join(docs, threshold).where("doc_id IS NOT NULL").select("doc_id", "component_id"))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    twice = cut(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"))
-    near = lambda x: F.broadcast(x) if x.count() <= broadcast_rows else x
-    same = F.col("doc_id").cast("long") == F.col("_id")
-    kept = docs.join(near(cut(gone)), same, "left_anti")
+    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias(named)).distinct())
+    twice = cut(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(named)).count().where("count > 1").select(named))
+    same = F.col("doc_id").cast("long") == F.col(named)
+    kept = docs.join(near(gone, broadcast_rows), same, "left_anti")
     if twice.isEmpty():
         return kept
-    ids = near(twice)
+    ids = near(twice, broadcast_rows)
     return kept.join(ids, same, "left_anti").unionByName(kept.join(ids, same, "left_semi").dropDuplicates(["doc_id"]))
