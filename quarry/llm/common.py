@@ -75,6 +75,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def quoted(*names: str) -> list:
+    """Columns of these names, whatever characters the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """df, in a session that hands rows to Python a thousand at a time at most, as rows may hold long texts."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

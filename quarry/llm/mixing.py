@@ -8,10 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batches, cut, small_batches, text_bytes, words_per_row
+from quarry.llm.common import batches, cut, fresh, quoted, small_batches, text_bytes, words_per_row
 
-#: Ranges of hash keys of a source for which sums are kept.
-RANGES = 4096
+#: First bits of a hash key by which the sums of a source are kept.
+RANGE_BITS = 12
 
 
 def word_sizes(docs: DataFrame, *keep: str) -> DataFrame:
@@ -60,7 +60,7 @@ def cuts(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     the key `at` there are `rest` words more. Sums of ranges of keys give the
     range that holds the cut; only that range's documents are put in order.
     """
-    ranged = sizes.withColumn("range", F.shiftrightunsigned("key", 52).cast("int"))
+    ranged = sizes.withColumn("range", F.shiftrightunsigned("key", 64 - RANGE_BITS).cast("int"))
     sums = cut(ranged.groupBy("source", "range").agg(F.sum("size").alias("words")))
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, epochs)
     budget = F.floor("target").cast("long")
@@ -84,9 +84,9 @@ def _on_source(rows: DataFrame, column: str, edges: DataFrame, named: str, most:
     return rows.join(F.broadcast(edges) if small else edges, F.col(column).eqNullSafe(F.col(named)))
 
 
-def _keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """docs with a hash-random key: of the id, so that reruns agree, with the text where ids are null."""
-    return docs.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))))
+def _key(seed: int):
+    """A hash-random key: of the id, so that reruns agree, with the text where ids are null."""
+    return F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
 
 
 def mix_sizes(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2, seed: int = 0) -> DataFrame:
@@ -102,7 +102,7 @@ def mix_sizes(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: fl
     one; other columns aren't read. Keys are hashed in the order of unsigned
     integers.
     """
-    keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source")), seed)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source")).withColumn("key", _key(seed))
     sizes = cut(word_sizes(keyed, "doc_id", "source", "key"))
     edges = cuts(sizes, weights, share, epochs).withColumnRenamed("source", "_source")
     joined = _on_source(sizes, "source", edges, "_source")
@@ -120,18 +120,21 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     """The rows of docs that the mix takes, each as often as it takes it, whole.
 
     The document at a source's cut is taken once more if at least half of it
-    fits the budget. Rows without words are never taken. Only the table of
-    cuts, one row for each source, meets the texts; they aren't shuffled by
-    key.
+    fits the budget. Rows without words (null, blank) are never taken; null is
+    a source like others; rows repeated with one doc_id are drawn together.
+    Rows come out with all their columns as they were, whatever the names. An
+    empty table gives an empty one. Only the table of cuts, one row for each
+    source, meets the texts; they aren't shuffled by key.
     """
-    base = _keyed(docs.withColumn("_source", F.col("source").cast("string")), seed)
-    sizes = cut(word_sizes(base.select("_source", "key", "text"), "_source", "key")).withColumnRenamed("_source", "source")
+    origin, key, of, whole, at, half, copy = fresh(docs, "_source", "_key", "_of", "_whole", "_at", "_half", "_copy")
+    base = docs.withColumns({origin: F.col("source").cast("string"), key: _key(seed)})
+    sizes = cut(word_sizes(base.select(F.col(origin).alias("source"), F.col(key).alias("key"), "text"), "source", "key"))
     edges = cuts(sizes, weights, share, epochs)
-    half = sizes.join(edges.select(F.col("source").alias("_s"), "at", "rest"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("key") == F.col("at"))).groupBy("source").agg((F.first("rest") * 2 >= F.sum("size")).cast("long").alias("half")).withColumnRenamed("source", "_h")
-    edges = edges.join(half, F.col("source").eqNullSafe(F.col("_h")), "left").select(F.col("source").alias("_of"), "whole", "at", F.coalesce("half", F.lit(0)).alias("half"))
-    joined = _on_source(base, "_source", cut(edges), "_of")
+    cut_at = edges.select(F.col("source").alias("_s"), "at", "rest")
+    fits = sizes.join(cut_at, F.col("source").eqNullSafe(F.col("_s")) & (F.col("key") == F.col("at"))).groupBy("source").agg((F.first("rest") * 2 >= F.sum("size")).cast("long").alias("half")).withColumnRenamed("source", "_h")
+    edges = cut(edges.join(fits, F.col("source").eqNullSafe(F.col("_h")), "left").select("source", "whole", "at", F.coalesce("half", F.lit(0))).toDF(of, whole, at, half))
     flip = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))
-    more = F.when(F.col("at").isNull(), 0).when(flip("key") < flip("at"), 1).when(F.col("key") == F.col("at"), F.col("half")).otherwise(0)
+    more = F.when(F.col(at).isNull(), 0).when(flip(key) < flip(at), 1).when(F.col(key) == F.col(at), F.col(half)).otherwise(0)
     worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    times = F.array_repeat(F.lit(1), (F.col("whole") + more).cast("int"))
-    return joined.where(worded).withColumn("_copy", F.explode(times)).select(*docs.columns)
+    times = F.array_repeat(F.lit(1), (F.col(whole) + more).cast("int"))
+    return _on_source(base, origin, edges, of).where(worded).withColumn(copy, F.explode(times)).select(*quoted(*docs.columns))

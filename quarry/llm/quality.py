@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batches, crc_mod, cut, slots, small_batches, text_bytes, word_hashes
+from quarry.llm.common import batches, crc_mod, cut, fresh, quoted, slots, small_batches, text_bytes, word_hashes
 
 NAMES = ("bytes", "words", "word_length", "upper", "digits", "symbols", "not_ascii", "blank", "lines", "line_ends", "distinct_words", "top_word", "repeated_triples", "stops", "symbol_ends")
 
@@ -213,8 +213,9 @@ def quality_scores(docs: DataFrame, model: AdditiveModel, *keep: str, names: tup
     score is 0 to 1, the chance of label 1; predicted is 1 from 0.5 on. Null
     texts are scored as empty ones. Only text is an input of the score.
     """
-    text = "text" if "text" in keep and dict(docs.dtypes)["text"] == "string" else "_text"
-    source = small_batches(docs).select(*keep, *([F.col("text").cast("string").alias("_text")] if text == "_text" else []))
+    own = "text" in keep and dict(docs.dtypes)["text"] == "string"
+    text = "text" if own else fresh(docs, "_text")[0]
+    source = small_batches(docs).select(*quoted(*keep), *([] if own else [F.col("text").cast("string").alias(text)]))
     types = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c in keep)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,6 +227,16 @@ def quality_scores(docs: DataFrame, model: AdditiveModel, *keep: str, names: tup
     return source.mapInArrow(run, f"{types}, `{names[0]}` double, `{names[1]}` int")
 
 
+def accepted(docs: DataFrame, model: AdditiveModel) -> DataFrame:
+    """The rows of docs that the model gives label 1, with all their columns as they were, whatever the names.
+
+    Null and blank texts are scored like others, repeated rows stay repeated,
+    a null doc_id makes no difference; an empty table gives an empty one.
+    """
+    score, predicted = fresh(docs, "_score", "_predicted")
+    return quality_scores(docs, model, *docs.columns, names=(score, predicted)).where(F.col(predicted) == 1).select(*quoted(*docs.columns))
+
+
 def classify(docs: DataFrame, labels: DataFrame, hold_out: int = 3) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs (doc_id long, text string).
 
