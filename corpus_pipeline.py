@@ -1,4 +1,10 @@
-"""The corpus pipeline: quality classifier, n-gram Jaccard join, mixing to target weights, BPE encoding."""
+"""The corpus pipeline: quality classifier, n-gram Jaccard join, mixing to target weights, BPE encoding.
+
+Every stage takes rows with nulls in any column, empty, blank and very long
+texts, repeated rows, an empty table and further columns of any name, and
+states in its operator what it gives for them; all but the last return the
+columns that they were given.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm.bpe import encode_documents
 from quarry.llm.jaccard_join import Threshold, one_of_each
 from quarry.llm.mixing import mixed
-from quarry.llm.quality import quality_scores, train
+from quarry.llm.quality import accepted, train
 
 #: SQL can't express the classifier, the draw and the tokenizer; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
@@ -16,8 +22,7 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier doesn't reject; it learns from the labelled documents outside its held-out fold."""
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_scores(docs, model, *docs.columns, names=("_score", "_predicted")).where("_predicted = 1").select(*docs.columns)
+    return accepted(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
