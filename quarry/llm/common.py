@@ -20,8 +20,8 @@ U64 = np.uint64
 GOLD = U64(0x9E3779B97F4A7C15)
 #: Bytes handled by one NumPy pass; temporaries are about 30 times as large.
 SLICE = 1 << 20
-#: Rows of numbers that a join broadcasts at most (about 10 MB).
-BROADCAST_ROWS = 200_000
+#: Rows of numbers that a join broadcasts at most (a few MB).
+BROADCAST_ROWS = 50_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -6,23 +6,30 @@ of coordinate minima bounds the overlap of the two sets from above, so an
 R-tree whose nodes keep coordinate maxima prunes pairs and whole subtrees,
 and only survivors are compared shingle by shingle.
 
-A tree prunes what it is asked to compare, but two trees of a whole corpus
-would be compared by every pair of their tasks, so the corpus is first split
-into blocks between which no link is possible, by the same groups: two sets that link differ in at
-most d elements, so of G > d groups at least G - d hold the same elements in
-both. Documents that agree on the contents of a group get a star edge to the
-least such document; connected components of these edges, by bands of size,
-are the blocks. Trees over the points of each block leave the pairs that may
-link; components of these are the smaller blocks whose shingles are fetched
-and compared. A block too large for a task is cut into parts and its pairs of
-parts are compared in separate tasks, so copies are never expanded into rows
-of pairs.
+A tree prunes what it is asked to compare, but trees of a whole corpus would
+be compared by every pair of their tasks, so the corpus is first split into
+small blocks between which no link is possible, by the same groups: two sets
+that link differ in at most d elements, so of G > d groups at least G - d hold
+the same elements in both. The contents of a group are a key. A key that few
+documents hold gives the pairs of them, at most FEW * (FEW - 1) / 2; one that
+more hold is hot, and gives each of them a count. A document with e empty
+groups and h hot keys agrees with any that it links with in G - d - e - h keys
+that aren't hot, at least. So pairs that agree in fewer go, and only documents
+of which that bound leaves nothing (many copies, or boilerplate alone) meet by
+their hot keys, each in a star around the least of them. Chance agreements,
+such as a passage that unrelated documents share, don't reach the bound.
+
+Connected components of what is left are the blocks, by bands of size. Trees
+over the points of each block leave the pairs that may link; components of
+these are the smaller blocks whose shingles are fetched and compared. A block
+too large for a task is cut into parts and its pairs of parts are compared in
+separate tasks, so copies are never expanded into rows of pairs.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +42,8 @@ from quarry.llm.components import connected_components
 
 #: Least dimensions of a point, and shingles for each dimension of a longer document's: with few in a group, the minima of unrelated sets add up to little.
 DIMS, PER_DIM = 64, 4
+#: Documents that a key gives pairs of, at most; share of the largest difference by which groups exceed it, so that hot keys may be left out.
+FEW, SPARE = 8, 0.15
 #: Bytes of text whose keys meet in one task, the least number of such parts, and bytes of a key beside its part.
 PART_TEXT, PARTS, KEY = 1 << 25, 12, 6
 #: Documents of a part of a block whose points are compared in one task with as many others.
@@ -42,6 +51,8 @@ PART_POINTS = 2048
 #: Bytes of points of such a part at most (long documents have long points), and cells of points that are looked at in one go.
 PART_BYTES, CELLS = 1 << 22, 1 << 20
 LEAF, FANOUT = 16, 8
+#: More keys than a set can share.
+NEVER = 1 << 40
 
 
 @dataclass(frozen=True)
@@ -61,7 +72,7 @@ class Threshold:
 
         Sizes that link lie in one band or in two that follow each other.
         Groups exceed the largest difference of two sets of the band that
-        link, with a margin for groups that stay empty by chance.
+        link, with a margin for hot keys and groups that stay empty by chance.
         """
         ratio, out, low = max(1.25, self.den / self.num), [], 1
         while low <= upto:
@@ -69,8 +80,9 @@ class Threshold:
             differ = 2 * (high - 1) * (self.den - self.num) // (self.den + self.num)
             groups = 0
             if differ:
-                empty = (differ + 1) * math.exp(-low / (differ + 1))
-                groups = differ + 1 + math.ceil(empty + 4 * math.sqrt(empty))
+                full = differ + 1 + math.ceil(SPARE * differ)
+                empty = full * math.exp(-low / full)
+                groups = full + math.ceil(empty + 4 * math.sqrt(empty))
             out.append((low, high, groups, groups - differ))
             low = high
         return out
@@ -140,10 +152,13 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
-def band_keys(s: np.ndarray, t: Threshold, bands: list) -> np.ndarray:
-    """Keys of the contents of each group that isn't empty, in the set's own band and the one above if it reaches it."""
-    n = len(s)
-    out = []
+def band_keys(s: np.ndarray, t: Threshold, bands: list) -> tuple[np.ndarray, int]:
+    """Keys of the contents of each group that isn't empty, in the set's own band and the one above if it reaches it, and what agrees at least.
+
+    The second value is the least number of these keys that a set which links
+    shares; if a band leaves none, its sets have a key in common instead.
+    """
+    n, out, agree = len(s), [], NEVER
     with np.errstate(over="ignore"):
         for i, (low, high, groups, sparse) in enumerate(bands):
             if not (low <= n < high or (n < low and n * t.den >= low * t.num)) or not groups:
@@ -153,82 +168,89 @@ def band_keys(s: np.ndarray, t: Threshold, bands: list) -> np.ndarray:
             content = np.add.reduceat(mix(s ^ U64(0xA5A5A5A5)), first)
             salt = U64(i + 1) * GOLD
             out.append(mix(content + mix(group[first] * GOLD + salt)))
-            if groups - len(first) >= sparse:
+            shared = sparse - (groups - len(first))
+            agree = min(agree, shared)
+            if shared <= 0:
                 out.append(mix(np.array([salt], U64)))
-    return np.concatenate(out) if out else np.empty(0, U64)
+    return (np.concatenate(out) if out else np.empty(0, U64)), agree
+
 
+def _met_in(keys: np.ndarray, nodes: np.ndarray, few: int = FEW) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """What the holders (keys, nodes) of one part of the keys give.
 
-def _first_of(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys once each with their least node, and edges (2, m) that join the nodes of each key."""
-    order = np.argsort(keys)
+    (a, b, keys that both hold) of pairs by keys of 2 to `few` nodes, (node,
+    hot keys it holds) and the ascending nodes of each hot key, once for keys
+    of the same nodes. A node that holds a key twice counts once.
+    """
+    order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
+    if len(keys):
+        own = np.concatenate([[True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])])
+        keys, nodes = keys[own], nodes[own]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    least = np.minimum.reduceat(nodes, first) if len(keys) else nodes
-    every = np.repeat(least, np.diff(np.append(first, len(keys))))
-    apart = nodes != every
-    return keys[first], least, _gathered(np.stack([nodes[apart], every[apart]]))
-
-
-def _gathered(edges: np.ndarray) -> np.ndarray:
-    """Edges (2, m) from each of their nodes to the least one that it reaches by them."""
-    if not edges.size:
-        return edges
-    names = np.unique(edges)
-    root = _roots(names, np.searchsorted(names, edges[0]), np.searchsorted(names, edges[1]))
-    return np.stack([names, root])[:, names != root]
+    held = np.diff(np.append(first, len(keys)))
+    pairs = [np.empty((0, 2), np.int64)]
+    for size in range(2, few + 1):
+        group = nodes[first[held == size][:, None] + np.arange(size)]
+        pairs += [group[:, [i, j]] for i in range(size) for j in range(i + 1, size)]
+    ab = np.concatenate(pairs)
+    ab = ab[np.lexsort((ab[:, 1], ab[:, 0]))]
+    at = np.flatnonzero(np.concatenate([[True], (ab[1:] != ab[:-1]).any(1)])) if len(ab) else np.empty(0, np.int64)
+    counted = np.column_stack([ab[at], np.diff(np.append(at, len(ab)))])
+    hot = held > few
+    warm = np.column_stack(np.unique(nodes[np.repeat(hot, held)], return_counts=True))
+    groups = {nodes[x : x + y].tobytes() for x, y in zip(first[hot], held[hot], strict=True)}
+    return counted, warm, [np.frombuffer(x, np.int64) for x in sorted(groups)]
 
 
-_MAPPED = "pid int, kind int, base long, keys binary, nodes binary, n binary, f1 binary, f2 binary"
-_TABLE = "kind int, a long, b long, n long, f1 long, f2 long, point binary"
+_MAPPED = "pid int, kind int, base long, keys binary, nodes binary, agree binary, n binary, f1 binary, f2 binary"
+_TABLE = "kind int, a long, b long, n long, f1 long, f2 long, point binary, held array<long>"
 
 
 def _map(it: Iterator[pa.RecordBatch], t: Threshold, pids: int) -> Iterator[pa.RecordBatch]:
-    """Rows of documents (kind 0), edges within the task (kind 1) and, by part, a task's distinct keys (kind 2).
+    """Rows of documents (kind 0) and, by part, keys with the documents that hold them (kind 1).
 
-    Copies within the task are known by fingerprint and give keys once; a key
-    leaves the task once, however many of its documents hold it: as KEY bytes,
-    as its part stands for the first ones, and as few bytes of its node as the
-    nodes of a row need. Sets of more than 255 shingles in a group have points
-    of two bytes a group (n * 2 + 1 stands for the size).
+    Copies within the task are known by fingerprint and give keys once. A key
+    takes KEY bytes, as its part stands for the first ones, and its node as
+    few bytes as the nodes of a row need. base holds for documents nothing, n
+    is twice the size of the set, one more if its point has two bytes a group.
     """
-    schema = pa.schema([("pid", pa.int32()), ("kind", pa.int32()), ("base", pa.int64()), *((c, pa.binary()) for c in ("keys", "nodes", "n", "f1", "f2"))])
+    schema = pa.schema([("pid", pa.int32()), ("kind", pa.int32()), ("base", pa.int64()), *((c, pa.binary()) for c in ("keys", "nodes", "agree", "n", "f1", "f2"))])
 
     def row(pid: int, kind: int, base: int = 0, **columns: np.ndarray | bytes) -> dict:
         return {"pid": pid, "kind": kind, "base": base} | {c: x.tobytes() if isinstance(x := columns.get(c), np.ndarray) else x for c in schema.names[3:]}
 
     def keyed(pid: int, keys: np.ndarray, nodes: np.ndarray) -> dict:
         base, near_base = packed(nodes)
-        return row(pid, 2, base, keys=keys.view(np.uint8).reshape(-1, 8)[:, :KEY].tobytes(), nodes=near_base)
+        return row(pid, 1, base, keys=keys.view(np.uint8).reshape(-1, 8)[:, :KEY].tobytes(), nodes=near_base)
 
     bands, seen, held, size = t.bands(1 << 12), set(), [], 0
 
     def flush() -> list[dict]:
         keys, nodes = (np.concatenate([x[j] for x in held]) for j in (0, 1))
         held.clear()
-        keys, nodes, edges = _first_of(keys, nodes)
-        if edges.size:  # what the task has joined goes on as one node
-            at = np.minimum(np.searchsorted(edges[0], nodes), edges.shape[1] - 1)
-            nodes = np.where(edges[0][at] == nodes, edges[1][at], nodes)
-        out = [row(int(edges[0, 0] % pids), 1, nodes=edges[0], n=edges[1])] if edges.size else []
+        order = np.argsort(keys)
+        keys, nodes = keys[order], nodes[order]
         pid = ((keys >> U64(32)) * U64(pids)) >> U64(32)
         at = np.searchsorted(pid, np.arange(pids + 1, dtype=U64))
-        return out + [keyed(p, keys[a:b], nodes[a:b]) for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+        return [keyed(p, keys[a:b], nodes[a:b]) for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
 
     for whole in it:
         for batch in batches(whole, "text", 1 << 21):
             ids = batch.column("doc_id")
             sets = shingle_sets(*text_bytes(batch.column("text")), t.words)
-            known, n = [], [len(s) for s in sets]
+            known, agree, n = [], [], [len(s) for s in sets]
             points = [point(s) for s in sets]
             while max(n, default=0) >= bands[-1][0]:
                 bands = t.bands(2 * bands[-1][1])
             for node, s in zip(ids.to_pylist(), sets, strict=True):
                 f = fingerprint(s)
                 known.append(f)
+                agree.append(NEVER)
                 if node is None or not len(s) or (f, len(s)) in seen:
                     continue
                 seen.add((f, len(s)))
-                keys = band_keys(s, t, bands)
+                keys, agree[-1] = band_keys(s, t, bands)
                 if len(keys):
                     held.append((keys, np.full(len(keys), node, np.int64)))
                     size += len(keys)
@@ -237,7 +259,7 @@ def _map(it: Iterator[pa.RecordBatch], t: Threshold, pids: int) -> Iterator[pa.R
             if there.any():
                 nodes = np.array([x for x in ids.to_pylist() if x is not None], np.int64)
                 part = int(mix(nodes.view(U64)).min() % U64(pids))  # by ids, not texts, as a text may be in any number of rows
-                out = [row(part, 0, nodes=nodes, n=np.array([2 * x + (p.itemsize > 1) for x, p in zip(n, points, strict=True)], np.int64)[there], f1=f1[there], f2=f2[there], keys=b"".join(p.tobytes() for p, ok in zip(points, there, strict=True) if ok))]
+                out = [row(part, 0, nodes=nodes, agree=np.array(agree, np.int64)[there], n=np.array([2 * x + (p.itemsize > 1) for x, p in zip(n, points, strict=True)], np.int64)[there], f1=f1[there], f2=f2[there], keys=b"".join(p.tobytes() for p, ok in zip(points, there, strict=True) if ok))]
                 yield pa.RecordBatch.from_pylist(out, schema)
             if size >= 1 << 20:
                 yield pa.RecordBatch.from_pylist(flush(), schema)
@@ -247,32 +269,37 @@ def _map(it: Iterator[pa.RecordBatch], t: Threshold, pids: int) -> Iterator[pa.R
 
 
 def _reduce(table: pa.Table) -> pa.Table:
-    """The documents and edges that came to one part, and star edges of the keys that several tasks hold."""
-    parts = []
-    columns = {c: table.column(c).to_pylist() for c in table.column_names}
+    """The documents of one part (kind 0: id, keys shared at least, size, fingerprint, point) and what its keys give.
+
+    Pairs (kind 1: a, b, n keys), documents with hot keys (kind 2: a, n of
+    them) and the documents of each hot key (kind 3: held).
+    """
     ints = lambda x: np.frombuffer(x, np.int64)
-    keys, nodes = [], []
-    for i, kind in enumerate(columns["kind"]):
-        if kind == 2:
-            n = len(columns["keys"][i]) // KEY
+    keys, nodes, docs = [np.empty(0, U64)], [np.empty(0, np.int64)], []
+    for x in table.to_batches():
+        for kind, base, key, node, *rest in zip(*(x.column(c).to_pylist() for c in ("kind", "base", "keys", "nodes", "agree", "n", "f1", "f2")), strict=True):
+            if kind == 0:
+                docs.append((ints(node), *map(ints, rest), key))
+                continue
+            n = len(key) // KEY
             wide = np.zeros((n, 8), np.uint8)
-            wide[:, :KEY] = np.frombuffer(columns["keys"][i], np.uint8).reshape(n, KEY)
+            wide[:, :KEY] = np.frombuffer(key, np.uint8).reshape(n, KEY)
             keys.append(wide.view(U64).ravel())
-            nodes.append(unpacked(columns["base"][i], columns["nodes"][i], n))
-        elif kind == 1:
-            parts.append((1, ints(columns["nodes"][i]), ints(columns["n"][i])))
-        else:
-            parts.append((0, *(ints(columns[c][i]) for c in ("nodes", "nodes", "n", "f1", "f2")), columns["keys"][i]))
-    if keys:
-        _, _, edges = _first_of(np.concatenate(keys), np.concatenate(nodes))
-        parts.append((1, edges[0], edges[1]))
+            nodes.append(unpacked(base, node, n))
+    names = ("kind", "a", "b", "n", "f1", "f2")
+    schema = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in names[1:]), ("point", pa.binary()), ("held", pa.list_(pa.int64()))])
+
+    def rows(kind: int, count: int, **columns) -> pa.Table:
+        return pa.table([pa.array(np.full(count, kind, np.int32)), *((x if isinstance(x := columns[c], pa.Array) else pa.array(x)) if c in columns else pa.nulls(count, schema.field(c).type) for c in schema.names[1:])], schema)
+
     out = []
-    for kind, a, b, *rest in parts:
-        n, f1, f2, packed = rest or [np.zeros(len(a), np.int64)] * 3 + [b""]
-        at = np.concatenate([[0], np.cumsum([dims(int(x >> 1)) << int(x & 1) for x in n])]) if kind == 0 else np.zeros(len(a) + 1, np.int64)
-        n = n >> 1
-        points = pa.array([packed[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
-        out.append(pa.table({"kind": pa.array(np.full(len(a), kind, np.int32)), "a": a, "b": b, "n": n, "f1": f1, "f2": f2, "point": points}))
+    for node, agree, n, f1, f2, points in docs:
+        at = np.concatenate([[0], np.cumsum([dims(int(x >> 1)) << int(x & 1) for x in n])])
+        out.append(rows(0, len(node), a=node, b=agree, n=n >> 1, f1=f1, f2=f2, point=pa.array([points[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())))
+    pairs, warm, hot = _met_in(np.concatenate(keys), np.concatenate(nodes))
+    out.append(rows(1, len(pairs), a=pairs[:, 0].copy(), b=pairs[:, 1].copy(), n=pairs[:, 2].copy()))
+    out.append(rows(2, len(warm), a=warm[:, 0].copy(), n=warm[:, 1].copy()))
+    out.append(rows(3, len(hot), held=pa.array(hot, pa.list_(pa.int64()))))
     return pa.concat_tables(out)
 
 
@@ -453,6 +480,22 @@ def _sets(it: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict(columns).filter(keep)
 
 
+def _agreeing(table: DataFrame, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) between documents that share as many keys as a link of theirs would, from what the parts of the keys gave."""
+    warm = table.where("kind = 2").groupBy("a").agg(F.sum("n").alias("hot"))
+    least = table.where("kind = 0").groupBy("a").agg(F.min("b").alias("agree")).where(F.col("agree") < NEVER)
+    bound = cut(least.join(few(cut(warm)), "a", "left").select("a", (F.col("agree") - F.coalesce("hot", F.lit(0))).alias("bound")))
+    pairs = cut(table.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    of_b = bound.select(F.col("a").alias("b"), F.col("bound").alias("other"))
+    kept = pairs.join(few(bound), "a").where("n >= bound").join(few(of_b), "b").where("n >= other").select("a", "b")
+    # documents that may share hot keys alone: each meets the least of them that holds the key
+    alone = bound.where("bound <= 0").select(F.col("a").alias("node"))
+    keyed = table.where("kind = 3").select(F.xxhash64("held").alias("key"), F.explode("held").alias("node"))
+    meet = cut(keyed.join(few(cut(alone)), "node"))
+    stars = meet.join(few(cut(meet.groupBy("key").agg(F.min("node").alias("least")))), "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    return kept.unionByName(stars)
+
+
 def jaccard_join(docs: DataFrame, threshold: Threshold | None = None, part_size: int = 1 << 20, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each row of docs (doc_id long, text string): doc_id, n_shingles, component_id, n_links, copy_of.
 
@@ -467,8 +510,7 @@ def jaccard_join(docs: DataFrame, threshold: Threshold | None = None, part_size:
     doc_id has a null component and takes no part. Rows with one doc_id are
     one document: it has the links of all its rows, and identical rows link
     it to itself no further. An empty table gives an empty one. Links are
-    exact but for collisions of 64-bit hashes of shingles; collisions of keys
-    only merge blocks, which are compared all the same.
+    exact but for collisions of 64-bit hashes of shingles and contents.
     """
     t = threshold or Threshold()
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -485,7 +527,8 @@ def jaccard_join(docs: DataFrame, threshold: Threshold | None = None, part_size:
     of_set = each.where("n > 0").join(few(copied), ["f1", "f2", "n"], "left").select("doc_id", "n", "f1", "f2", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
     member = cut(of_set.unionByName(each.where("n = 0").select("*", F.col("doc_id").alias("rep"), F.lit(1).cast("long").alias("copies"))))
     drop_cut(each, copied)
-    agreed = components(table.where("kind = 1").select("a", "b").unionByName(member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
+    copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    agreed = components(_agreeing(table, few).unionByName(copies))
     reps = member.where("doc_id = rep").select("rep", "n", "f1", "f2", "copies")
     tagged = cut(reps.join(few(agreed), "rep"))
     several = tagged.join(few(cut(tagged.groupBy("comp").count().where("count > 1").select("comp"))), "comp")
