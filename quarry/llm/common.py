@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -45,9 +45,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the reliable checkpoint folder; its lineage ends there."""
+    """df, computed once and kept in the reliable checkpoint folder; its lineage ends there. Its rows are counted on the way, for rows_of()."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
+    out._cut_rows = seen.get.get("rows")
+    return out
+
+
+def rows_of(df: DataFrame, most: int) -> int:
+    """Rows of df, at most + 1 if they are more than that; known without a job for what cut() gave."""
+    known = getattr(df, "_cut_rows", None)
+    return df.limit(most + 1).count() if known is None else known
 
 
 def drop_cut(*frames: DataFrame) -> None:
@@ -59,9 +68,9 @@ def drop_cut(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def near(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has at most `rows` rows by count; a larger one is joined by shuffle. df is a cut or a cheap frame of numbers."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def near(df: DataFrame, rows: int = BROADCAST_ROWS, of: DataFrame | None = None) -> DataFrame:
+    """df, marked for broadcast if it has at most `rows` rows by count; a larger one is joined by shuffle. of: a cut frame that has as many rows."""
+    return F.broadcast(df) if rows_of(df if of is None else of, rows) <= rows else df
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import BROADCAST_ROWS, GOLD, U64, batches, cut, drop_cut, fresh, mix, near, slots, small_batches, text_bytes, word_hashes
-from quarry.llm.components import connected_components
+from quarry.llm.components import connected_components, least_reachable
 
 #: Least dimensions of a point, and shingles for each dimension of a longer document's: with few in a group, the minima of unrelated sets add up to little.
 DIMS, PER_DIM = 64, 4
@@ -375,20 +375,6 @@ def verified(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j:
     return ok
 
 
-def _roots(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least node reachable from each of nodes over the pairs of positions (a, b)."""
-    label = nodes.copy()
-    while len(a):
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        if (new == label).all():
-            break
-        label = new
-    return label
-
-
 def _survivors(points: list[np.ndarray], sizes: np.ndarray, split: int | None, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of positions that the count tree can't rule out: of all, or between those before `split` and the others."""
     none = np.empty(0, np.int64)
@@ -424,7 +410,7 @@ def _sift(table: pa.Table, t: Threshold) -> pa.Table:
     for rows, split in _blocks(table):
         i, j = _survivors([points[r] for r in rows], n[rows], split, t)
         real = own[rows][i] | own[rows][j]
-        root = _roots(nodes[rows], i[real], j[real])
+        root = least_reachable(nodes[rows], i[real], j[real])
         a.append(nodes[rows][nodes[rows] != root])
         b.append(root[nodes[rows] != root])
     return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
@@ -450,7 +436,7 @@ def _verify(table: pa.Table, t: Threshold) -> pa.Table:
         links = np.bincount(i, weight[j], len(rows)) + np.bincount(j, weight[i], len(rows))
         out_node.append(own)
         out_links.append(links.astype(np.int64))
-        out_root.append(_roots(own, i, j))
+        out_root.append(least_reachable(own, i, j))
     return pa.table({"doc": np.concatenate(out_node), "links": np.concatenate(out_links), "root": np.concatenate(out_root)})
 
 
@@ -480,19 +466,19 @@ def _sets(it: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict(columns).filter(keep)
 
 
-def _agreeing(table: DataFrame, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _agreeing(table: DataFrame, few: Callable[..., DataFrame]) -> DataFrame:
     """Edges (a, b) between documents that share as many keys as a link of theirs would, from what the parts of the keys gave."""
-    warm = table.where("kind = 2").groupBy("a").agg(F.sum("n").alias("hot"))
+    warm = cut(table.where("kind = 2").groupBy("a").agg(F.sum("n").alias("hot")))
     least = table.where("kind = 0").groupBy("a").agg(F.min("b").alias("agree")).where(F.col("agree") < NEVER)
-    bound = cut(least.join(few(cut(warm)), "a", "left").select("a", (F.col("agree") - F.coalesce("hot", F.lit(0))).alias("bound")))
-    pairs = cut(table.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    bound = cut(least.join(few(warm), "a", "left").select("a", (F.col("agree") - F.coalesce("hot", F.lit(0))).alias("bound")))
+    pairs = table.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n"))
     of_b = bound.select(F.col("a").alias("b"), F.col("bound").alias("other"))
-    kept = pairs.join(few(bound), "a").where("n >= bound").join(few(of_b), "b").where("n >= other").select("a", "b")
+    kept = pairs.join(few(bound), "a").where("n >= bound").join(few(of_b, bound), "b").where("n >= other").select("a", "b")
     # documents that may share hot keys alone: each meets the least of them that holds the key
-    alone = bound.where("bound <= 0").select(F.col("a").alias("node"))
-    keyed = table.where("kind = 3").select(F.xxhash64("held").alias("key"), F.explode("held").alias("node"))
-    meet = cut(keyed.join(few(cut(alone)), "node"))
-    stars = meet.join(few(cut(meet.groupBy("key").agg(F.min("node").alias("least")))), "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    alone = cut(bound.where("bound <= 0").select(F.col("a").alias("node")))
+    meet = cut(table.where("kind = 3").select(F.xxhash64("held").alias("key"), F.explode("held").alias("node")).join(few(alone), "node"))
+    least_of = meet.groupBy("key").agg(F.min("node").alias("least"))
+    stars = meet.join(few(least_of, meet), "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     return kept.unionByName(stars)
 
 
@@ -514,8 +500,9 @@ def jaccard_join(docs: DataFrame, threshold: Threshold | None = None, part_size:
     """
     t = threshold or Threshold()
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    few = lambda x: near(x, broadcast_rows)
-    components = lambda x: connected_components(x, broadcast_rows=broadcast_rows).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    few = lambda x, of=None: near(x, broadcast_rows, of)
+    components = lambda x: connected_components(x, broadcast_rows=broadcast_rows)
+    named = lambda x: x.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     # parts go by the bytes of the texts, so that a part's work is the same at every size
     pids = max(PARTS, math.ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / PART_TEXT))
     mapped = docs.mapInArrow(lambda it: _map(it, t, pids), _MAPPED)
@@ -530,10 +517,11 @@ def jaccard_join(docs: DataFrame, threshold: Threshold | None = None, part_size:
     copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     agreed = components(_agreeing(table, few).unionByName(copies))
     reps = member.where("doc_id = rep").select("rep", "n", "f1", "f2", "copies")
-    tagged = cut(reps.join(few(agreed), "rep"))
-    several = tagged.join(few(cut(tagged.groupBy("comp").count().where("count > 1").select("comp"))), "comp")
+    tagged = cut(reps.join(few(named(agreed), agreed), "rep"))
+    crowd = cut(tagged.groupBy("comp").count().where("count > 1").select("comp"))
+    several = tagged.join(few(crowd), "comp")
     points = table.where("kind = 0").select(F.col("a").alias("rep"), "f1", "f2", "point")
-    pointed = cut(points.join(few(several), ["rep", "f1", "f2"]).dropDuplicates(["rep", "f1", "f2"]).select("rep", "n", "point", "comp"))
+    pointed = cut(points.join(few(several, tagged), ["rep", "f1", "f2"]).dropDuplicates(["rep", "f1", "f2"]).select("rep", "n", "point", "comp"))
     longest = member.agg(F.max("n")).first()[0] or 1
     bands = F.array(*(F.struct(F.lit(i).alias("band"), F.lit(low).alias("low"), F.lit(high).alias("high")) for i, (low, high, *_) in enumerate(t.bands(longest))))
     size = F.col("n")
@@ -542,10 +530,11 @@ def jaccard_join(docs: DataFrame, threshold: Threshold | None = None, part_size:
     met = cut(banded.groupBy("comp").agg(F.count("*").alias("sets"), F.sum(F.length("point")).alias("bytes")).where("sets > 1").withColumn("parts", F.greatest(F.ceil(F.col("sets") / PART_POINTS), F.ceil(F.col("bytes") / PART_BYTES)).cast("int")))
     n_small, n_bytes = met.where("parts = 1").agg(F.sum("sets"), F.sum("bytes")).first()
     bins = max(1, math.ceil((n_small or 0) / PART_POINTS), math.ceil((n_bytes or 0) / PART_BYTES))
-    sifted = cut(_met(banded.join(few(met.select("comp", "parts")), "comp"), bins, "n", "point", "own").groupBy("task").applyInArrow(lambda x: _sift(x, t), "a long, b long"))
+    sifted = cut(_met(banded.join(few(met.select("comp", "parts"), met), "comp"), bins, "n", "point", "own").groupBy("task").applyInArrow(lambda x: _sift(x, t), "a long, b long"))
     drop_cut(tagged, pointed, met)
     weight = F.greatest("n", F.lit(512))
-    placed = cut(reps.join(few(components(sifted)), "rep").withColumn("weight", weight))
+    alike = components(sifted)
+    placed = cut(reps.join(few(named(alike), alike), "rep").withColumn("weight", weight))
     held = placed.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("weight").alias("all")).where("sets > 1").select("comp", F.ceil(F.col("all") / part_size).cast("int").alias("parts"))
     todo = cut(placed.join(few(cut(held)), "comp").select("rep", "comp", "f1", "f2", "copies", "parts", "weight"))
     small = todo.where("parts = 1").agg(F.sum("weight")).first()[0]
@@ -557,7 +546,7 @@ def jaccard_join(docs: DataFrame, threshold: Threshold | None = None, part_size:
     links = cut(spread.groupBy("task").applyInArrow(lambda x: _verify(x, t), "doc long, links long, root long"))
     drop_cut(sifted, placed)
     joined = components(links.select(F.col("doc").alias("a"), F.col("root").alias("b")))
-    linked = cut(links.groupBy(F.col("doc").alias("rep")).agg(F.sum("links").alias("links")).join(few(joined), "rep", "left"))
+    linked = cut(links.groupBy(F.col("doc").alias("rep")).agg(F.sum("links").alias("links")).join(few(named(joined), joined), "rep", "left"))
     known = member.join(few(linked), "rep", "left").select("doc_id", "rep", F.coalesce("comp", "rep").alias("of"), F.when(F.col("n") > 0, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0).alias("links"))
     by_doc = known.groupBy("doc_id").agg(F.min("of").alias("component_id"), F.sum("links").alias("n_links"), F.min("rep").alias("copy_of"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(by_doc, "doc_id")

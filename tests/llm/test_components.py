@@ -21,9 +21,11 @@ def brute(edges):
     return least
 
 
-@pytest.mark.parametrize("broadcast_rows", [1000, 0])
-@pytest.mark.parametrize("kind", ["path", "star", "random", "empty", "odd"])
-def test_components(spark, kind, broadcast_rows):
+KINDS = ["path", "star", "random", "empty", "odd"]
+
+
+@pytest.mark.parametrize(("kind", "broadcast_rows", "local"), [*((k, 1000, 100) for k in KINDS), ("random", 0, 5), ("random", 1000, 0), ("path", 1000, 0), ("star", 0, 0)])
+def test_components(spark, kind, broadcast_rows, local):
     r = random.Random(7)
     edges = {
         "path": [(i, i + 1) for i in range(40)],
@@ -32,7 +34,7 @@ def test_components(spark, kind, broadcast_rows):
         "empty": [],
         "odd": [(1, None), (None, 2), (3, 3), (5, 4), (4, 5), (5, 4), (-9, 5)],
     }[kind]
-    got = connected_components(spark.createDataFrame(edges, "a long, b long"), broadcast_rows=broadcast_rows).collect()
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"), broadcast_rows=broadcast_rows, local_edges=local).collect()
     assert len(got) == len({x[0] for x in got})
     assert {x["node"]: x["component"] for x in got} == brute(edges)
 
