@@ -129,8 +129,8 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
 
 
-def _answer(index: bytes, own: np.ndarray, q: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x, ids, at, unit, layers, entry = pickle.loads(index)
+def _answer(index: tuple, own: np.ndarray, q: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x, ids, at, unit, layers, entry = index
     graph = Graph.__new__(Graph)
     graph.unit, graph.layers, graph.entry = unit, layers, entry
     scaled = q / np.abs(q).max(1, keepdims=True)
@@ -163,7 +163,9 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, shard
     columns are not read. The score is the cosine of the original vectors in
     double precision, ties go to the smaller vec_id. Every usable row is in
     the index: null and zero vectors and vectors with a null or non-finite
-    component take no part on either side, nor do rows with a null vec_id.
+    component take no part on either side, nor do rows with a null vec_id. The
+    score scales both vectors before it multiplies, so that nothing overflows;
+    its last bits may differ from those of the plain formula.
     Vectors of different dimension never meet. Equal vectors share one node
     of the graph. Fewer than k candidates give fewer rows, an empty table none.
     """

@@ -37,13 +37,13 @@ def exact_dot(x: np.ndarray, q: np.ndarray) -> list[int]:
     return [min(LONG_MAX, max(LONG_MIN, sum(int(a) * b for a, b in zip(row, whole, strict=True)))) for row in x]
 
 
-def _answer(index: bytes, own: np.ndarray, q: np.ndarray, k: int) -> tuple[list, list, list]:
+def _answer(index: tuple, own: np.ndarray, q: np.ndarray, k: int) -> tuple[list, list, list]:
     """The best k of the shard for each query, read in the order of their bounds until no bound reaches the kth.
 
     Bounds are rounded outwards by more than doubles can err, so rows that
     are not read are worse for certain; ties are read on and go by id.
     """
-    cells, low, high, x, ids, at = pickle.loads(index)
+    cells, low, high, x, ids, at = index
     column = np.arange(x.shape[1])
     copies = np.diff(at)
     least, most = low[cells, column], high[cells, column]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable
 
 import numpy as np
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import cut
 
-#: Queries of a block: what one shard is asked at a time.
-BLOCK = 1024
+#: Queries of a block: what one shard is asked at a time; blocks that one task asks of a shard.
+BLOCK, GROUP = 1024, 16
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -50,11 +51,11 @@ def search(vectors: DataFrame, queries: DataFrame, build: Callable, answer: Call
     """(query_id, rank, vec_id, score): the k best of each query over all shards, ties to the smaller vec_id.
 
     vectors and queries: (vec_id, v). build(ids, x) packs a shard's index into
-    bytes, once; answer(index, ids, q) gives (position of the query, vec_id,
-    score) of what a shard finds for a block of queries. Shards hold about
-    shard_size vectors of one dimension, dealt by a hash of the id; each block
-    of queries meets each shard of its dimension, as packed rows, in a task of
-    its own. Repeated rows count once; of an id with several vectors the best pair counts.
+    pickled bytes, once; answer(index, ids, q) gives (position of the query,
+    vec_id, score) of what a shard finds for a block of queries. Shards hold
+    about shard_size vectors of one dimension, dealt by a hash of the id; each
+    block of queries meets each shard of its dimension, as packed rows. A task
+    holds one shard and GROUP blocks, whatever the size of the tables. Repeated rows count once; of an id with several vectors the best pair counts.
     """
     sized = vectors.withColumn("dim", F.size("v"))
     counts = {r["dim"]: r["n"] for r in sized.groupBy("dim").agg(F.count("*").alias("n")).collect()}
@@ -81,17 +82,25 @@ def search(vectors: DataFrame, queries: DataFrame, build: Callable, answer: Call
         return pa.table({"dim": pa.array([dim], pa.int32()), "block": pa.array([x.column("block")[0].as_py()], pa.int64()), "ids": pa.array([x.column("vec_id").to_numpy().tobytes()], pa.binary()), "q": pa.array([matrix(x.column("v"), dim).tobytes()], pa.binary())})
 
     blocked = lined.groupBy("dim", "block").applyInArrow(block, "dim int, block long, ids binary, q binary")
+    # a shard's index meets GROUP blocks in a task, and is opened once for them
     each = F.sequence(F.lit(0).cast("long"), table(shards).cast("long") - 1)
-    met = blocked.withColumn("shard", F.explode(each)).join(index, ["dim", "shard"])
-
-    def ask(it):
-        for batch in it:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("dim", "index", "ids", "q")}
-                ids = np.frombuffer(row["ids"], np.int64)
-                at, found, value = answer(row["index"], ids, np.frombuffer(row["q"], np.float64).reshape(len(ids), row["dim"]))
-                yield pa.RecordBatch.from_pydict({"query_id": ids[at], "vec_id": found, "score": pa.array(value, pa.float64() if kind == "double" else pa.int64())})
-
-    found = met.select("dim", "index", "ids", "q").mapInArrow(ask, f"query_id long, vec_id long, score {kind}").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    groups = F.sequence(F.lit(0).cast("long"), F.floor((table(blocks) - 1) / GROUP).cast("long"))
+    key = ["dim", "shard", "group"]
+    asked_of = blocked.select("dim", F.floor(F.col("block") / GROUP).cast("long").alias("group"), "ids", "q", F.explode(each).alias("shard"))
+    held_by = index.withColumn("group", F.explode(groups))
+
+    def ask(blocks: pa.Table, held: pa.Table) -> pa.Table:
+        out = [pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64() if kind == "double" else pa.int64())})]
+        for packed in held.column("index").to_pylist() if blocks.num_rows else []:
+            opened = pickle.loads(packed)
+            dim = held.column("dim")[0].as_py()
+            for i in range(blocks.num_rows):
+                ids = np.frombuffer(blocks.column("ids")[i].as_py(), np.int64)
+                at, found, value = answer(opened, ids, np.frombuffer(blocks.column("q")[i].as_py(), np.float64).reshape(len(ids), dim))
+                out.append(pa.table({"query_id": ids[at], "vec_id": found, "score": pa.array(value, out[0].schema.field("score").type)}))
+        return pa.concat_tables(out)
+
+    answered = asked_of.groupBy(*key).cogroup(held_by.groupBy(*key)).applyInArrow(ask, f"query_id long, vec_id long, score {kind}")
+    found = answered.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
