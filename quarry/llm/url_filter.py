@@ -2,8 +2,8 @@
 
 A rule's literal tokens are runs of letters and digits that end where the rule
 ends them, so that a URL that fits the rule has them as whole tokens. The rule
-is filed under the one that fewest rules share. A URL's tokens fetch the rules
-filed under them, and only those run their regular expressions.
+is filed under the one that fewest of the URLs hold. A URL's tokens fetch the
+rules filed under them, and only those run their regular expressions.
 """
 
 from __future__ import annotations
@@ -50,15 +50,25 @@ def word_rule(verdict: str, word: str) -> Rule:
 WORDS = ("adult", "bets", "casino", "porn", "xxx")
 
 
-def index(rules: list[Rule]) -> dict[str, list[Rule]]:
-    """Rules by the token they are filed under: of a rule's tokens the one in fewest rules, the longer and then the lesser of equals."""
+def index(rules: list[Rule], held: dict[str, int]) -> dict[str, list[Rule]]:
+    """Rules by the token they are filed under: of a rule's tokens the one that fewest URLs hold, then the one in fewest rules, the longer and the lesser of equals."""
     shared = Counter(t for r in rules for t in set(r.tokens))
     out: dict[str, list[Rule]] = {}
     for r in rules:
-        out.setdefault(min(r.tokens, key=lambda t: (shared[t], -len(t), t), default=ANY), []).append(r)
+        out.setdefault(min(r.tokens, key=lambda t: (held.get(t, 0), shared[t], -len(t), t), default=ANY), []).append(r)
     return out
 
 
+def _held(address: DataFrame, rules: list[Rule], inline: int) -> dict[str, int]:
+    """How many rows of address hold each token among which a rule has a choice; as many entries as the rules have tokens, at most."""
+    wanted = sorted({t for r in rules if len(set(r.tokens)) > 1 for t in r.tokens})
+    if not wanted:
+        return {}
+    tokens = address.select(F.explode(_tokens(F.col("address"))).alias("token"))
+    tokens = tokens.where(F.col("token").isin(wanted)) if len(wanted) <= inline else tokens.join(address.sparkSession.createDataFrame([(t,) for t in wanted], "token string"), "token", "left_semi")
+    return {r["token"]: r["n"] for r in tokens.groupBy("token").agg(F.count("*").alias("n")).collect()}
+
+
 def host_of(url: Column) -> Column:
     """After the first :// up to / ? # or the end, A-Z lower-cased; empty without :// or url."""
     return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -84,14 +94,18 @@ def judge(pages: DataFrame, rules: list[Rule], words: tuple[str, ...] = WORDS, d
     Where none fits, rule is null and the verdict is block if the host has one
     of the words as a token, else the default. A null url or one without ://
     has an empty host and path and fits no host's rule. Rows are kept as they
-    are, repeated or with null ids; other columns aren't read. Up to `inline`
-    rules the plan is one projection without shuffle; more rules are a table
-    that is joined with the tokens of the distinct addresses.
+    are, repeated or with null ids; other columns aren't read. words, hosts
+    that are blocked though no rule names them, are a parameter. A first pass
+    counts how many URLs hold each token of the rules, which only decides under
+    which token a rule is filed. Up to `inline` rules the plan is one
+    projection without shuffle; more rules are a table that is joined with the
+    tokens of the distinct addresses.
     """
-    filed = index([*rules, *(word_rule("block", w) for w in words)])
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     split = base.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     address = F.concat("host", "path")
+    every = [*rules, *(word_rule("block", w) for w in words)]
+    filed = index(every, _held(split.select(address.alias("address")), every, inline))
     if sum(map(len, filed.values())) <= inline:
         row = lambda r: F.struct(F.lit(r.size).alias("size"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern"))
         keys = sorted(filed)
