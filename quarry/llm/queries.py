@@ -62,24 +62,19 @@ def op8_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
-def op9_chat_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the formatted conversations, and what the machine over roles says of each: valid, broken."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    added = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    added = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{CONTROL}'), (-1L, 1L, 'assistant', '{CONTROL}') AS t(conv_id, turn, role, text)")
     return chat_digests(turns.unionByName(added))
 
 
-def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of op9_chat_states that its SQL has; the machine isn't run for them."""
-    return op9_chat_states(spark, sf_dir).drop("valid", "broken")
-
-
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return top_inner_products(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_nearest_neighbours, op3_token_counts, op4_url_filter, op5_mix_sources, op6_quality_classifier, op7_bpe_round_trip, op8_ppm_scores, op9_chat_format, op9_chat_states, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_nearest_neighbours, op3_token_counts, op4_url_filter, op5_mix_sources, op6_quality_classifier, op7_bpe_round_trip, op8_ppm_scores, op9_chat_format, op10_exact_top_k)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -100,13 +95,6 @@ f AS (SELECT u.*, (SELECT max({{'n': length(rule), 'rule': rule, 'verdict': verd
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN len(list_intersect(regexp_split_to_array(host, '[^A-Za-z0-9]+'), {list(WORDS)})) > 0 THEN 'block' ELSE 'allow' END) AS verdict FROM f""",
     "op9_chat_format": r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-UNION ALL SELECT -1, i, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r))
-SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-sum(length('<|im_start|>') + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
-FROM t GROUP BY conv_id""",
-    "op9_chat_states": r"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
 UNION ALL SELECT -1, i, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
 o AS (SELECT *, row_number() OVER w - 1 AS i, coalesce(lag(role) OVER w, '') AS b FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
 s AS (SELECT *, CASE role WHEN 'system' THEN b = '' WHEN 'user' THEN b IN ('', 'system', 'assistant') WHEN 'assistant' THEN b = 'user' ELSE false END AS may FROM o)

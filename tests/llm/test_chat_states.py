@@ -14,6 +14,6 @@ def test_op9_marks_conversations(spark):
         roles = [r for _, r, _ in sorted(rows)]
         broken = next((i for i, step in enumerate(zip(["", *roles], roles)) if step not in may), None)
         want[c] = (broken is None and roles[-1] == "assistant", broken)
-    got = {r["conv_id"]: (r["valid"], r["broken"]) for r in QUERIES["op9_chat_states"](spark, SF).collect()}
+    got = {r["conv_id"]: (r["valid"], r["broken"]) for r in QUERIES["op9_chat_format"](spark, SF).collect()}
     assert got == want
     assert {v for v, _ in got.values()} == {True, False}
