@@ -16,7 +16,7 @@ more hold is hot, and gives each of them a count. A document with e empty
 groups and h hot keys agrees with any that it links with in G - d - e - h keys
 that aren't hot, at least. So pairs that agree in fewer go, and only documents
 of which that bound leaves nothing (many copies, or boilerplate alone) meet by
-their hot keys, each in a star around the least of them. Chance agreements,
+their hot keys, each a star around its key. Chance agreements,
 such as a passage that unrelated documents share, don't reach the bound.
 
 Connected components of what is left are the blocks, by bands of size. Trees
@@ -467,19 +467,17 @@ def _sets(it: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
 
 
 def _agreeing(table: DataFrame, few: Callable[..., DataFrame]) -> DataFrame:
-    """Edges (a, b) between documents that share as many keys as a link of theirs would, from what the parts of the keys gave."""
+    """Edges (a, b) between documents that share as many keys as a link of theirs would, and from those that may share hot keys alone to these, from what the parts of the keys gave."""
     warm = cut(table.where("kind = 2").groupBy("a").agg(F.sum("n").alias("hot")))
     least = table.where("kind = 0").groupBy("a").agg(F.min("b").alias("agree")).where(F.col("agree") < NEVER)
     bound = cut(least.join(few(warm), "a", "left").select("a", (F.col("agree") - F.coalesce("hot", F.lit(0))).alias("bound")))
     pairs = table.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n"))
     of_b = bound.select(F.col("a").alias("b"), F.col("bound").alias("other"))
     kept = pairs.join(few(bound), "a").where("n >= bound").join(few(of_b, bound), "b").where("n >= other").select("a", "b")
-    # documents that may share hot keys alone: each meets the least of them that holds the key
+    # documents that may share hot keys alone meet at the key, a node of its own; should it be a document's id, blocks only grow
     alone = cut(bound.where("bound <= 0").select(F.col("a").alias("node")))
-    meet = cut(table.where("kind = 3").select(F.xxhash64("held").alias("key"), F.explode("held").alias("node")).join(few(alone), "node"))
-    least_of = meet.groupBy("key").agg(F.min("node").alias("least"))
-    stars = meet.join(few(least_of, meet), "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    return kept.unionByName(stars)
+    meet = table.where("kind = 3").select(F.xxhash64("held").alias("key"), F.explode("held").alias("node")).join(few(alone), "node")
+    return kept.unionByName(meet.select(F.col("node").alias("a"), F.col("key").alias("b")))
 
 
 def jaccard_join(docs: DataFrame, threshold: Threshold | None = None, part_size: int = 1 << 20, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
