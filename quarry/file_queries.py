@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import paths as N
@@ -116,11 +116,10 @@ QUERIES = {
     "registry_reconcile": _ghosts,
     "file_locate": _located,
     "package_ids": _registry(lambda d: S.packaged(d, IDS)),
-    "registry_json_line": _registry(lambda d: S.json_lines(d, F.col("tags"))),
     "path_functions": _names,
     "number_functions": lambda s, d: _rows(s, NUMBERS, "x string").select("id", N.whole_number(F.col("x")).alias("whole"), N.row_id(F.col("x")).alias("row_id")),
     "human_size": lambda s, d: _rows(s, SIZES, "x long").select("id", N.human_size(F.col("x")).alias("text")),
-    "natural_order": lambda s, d: _rows(s, NAMES, "x string").orderBy(N.natural_key(F.col("x")), "id").select("id", "x"),
+    "natural_order": lambda s, d: _rows(s, NAMES, "x string").select("id", "x", F.row_number().over(Window.orderBy(N.natural_key(F.col("x")), "id")).alias("place")),
     "md_neutralise": lambda s, d: _hashed(M.neutralised(_tables(s, d))),
     "md_merge_blocks": lambda s, d: _hashed(M.merged(_tables(s, d))),
     "chunk_screen": lambda s, d: M.screened(_tables(s, d)),
@@ -137,7 +136,7 @@ QUERIES = {
     "ensure_categories": _registry(lambda d: X.ensure_categories(X.taxonomy(d.sparkSession), d)),
     "decision_changes": lambda s, d: X.changed_decisions(_rows(s, CHANGED, "old_category string, old_subcategory string, new_category string, new_subcategory string")).select("id"),
     "subcategory_rename": _registry(lambda d: X.renamed(d, "invoices", "sfr", "sfr_red")),
-    "move_plan": _registry(lambda d: X.moves(d.withColumn("new_path", F.when(F.col("id") % 2 == 0, F.concat(F.lit("ROOT//invoices/sfr/2024/"), F.col("original_filename"))).otherwise("")), "root", TODAY[:4])),
+    "move_plan": _registry(lambda d: X.moves(d.withColumn("new_path", F.when(F.col("id") % 2 == 0, F.concat(F.lit("ROOT//invoices/sfr/2024/"), F.col("original_filename"))).otherwise("")), "root", TODAY)),
     "duplicate_names": _registry(lambda d: X.numbered(d.select("id", F.col("original_filename").alias("name")), "dup")),
     "task_progress": _updates,
     "auto_levels": lambda s, d: Z.levels(_pixels(s, d), 0.01),
@@ -188,13 +187,14 @@ ORACLE_SQL = {
     "file_locate": f"""WITH {_TREE}, k AS (SELECT * FROM fl WHERE id % 7 <> 3), d AS (SELECT id, CASE WHEN id % 3 = 0 THEN path ELSE '' END AS np, CASE WHEN id % 4 = 0 THEN path ELSE 'gone/' || name END AS op, CASE WHEN id % 6 = 0 THEN name ELSE upper(name) END AS fn FROM fl)
 SELECT id, coalesce((SELECT path FROM k WHERE path = np), (SELECT path FROM k WHERE path = op), (SELECT path FROM k WHERE path = 'raws/a/' || fn), (SELECT min(path) FROM k WHERE lower(name) = lower(fn))) AS found FROM d""",
     "package_ids": f"WITH {_REG}, a AS (SELECT * FROM {_values(list(enumerate(IDS)), 'ord, id')}) SELECT ord, a.id::BIGINT AS id, coalesce(regexp_replace(original_filename, '[^a-zA-Z0-9_.-]', '_', 'g'), '') AS name, r.id IS NULL AS missing FROM a LEFT JOIN r ON r.id = a.id",
-    "registry_json_line": f"WITH {_REG} SELECT id, to_json({{'id': id, 'title': title, 'category': category, 'subcategory': {_GENERAL}, 'date': date, 'tags': coalesce(tags::VARCHAR[], []::VARCHAR[]), 'original_filename': original_filename}})::VARCHAR AS line FROM r".replace("coalesce(tags::VARCHAR[], []::VARCHAR[])", "coalesce(json_transform(tags, '[\"VARCHAR\"]'), [])"),
     "path_functions": f"""SELECT id, CASE WHEN regexp_matches({_FWD}, '{_DRIVE}') THEN '/mnt/' || lower(regexp_extract({_FWD}, '{_DRIVE}', 1) || regexp_extract({_FWD}, '{_DRIVE}', 2)) || regexp_extract({_FWD}, '{_DRIVE}', 3) ELSE {_FWD} END AS mount,
 CASE WHEN regexp_matches(trim(x), '^/mnt/[A-Za-z](/.*)?$') THEN upper(trim(x)[6]) || ':' || replace(CASE WHEN length(trim(x)) = 6 THEN '/' ELSE trim(x)[7:] END, '/', '\\') ELSE trim(x) END AS drive,
 array_to_string(list_transform(string_split(x, '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS title, upper(x[1]) || lower(x[2:]) AS capital, regexp_replace(x, '[/\\\\?%*:|"<>]', '_', 'g') AS safe, regexp_replace(x, '[^a-zA-Z0-9_.-]', '_', 'g') AS entry, {_ENC.format('x')} AS uri,
 'attachment; filename="' || regexp_replace(regexp_replace(replace(x, '"', ''''), '[\\x{{10000}}-\\x{{10FFFF}}]', '__', 'g'), '[^ -~]', '_', 'g') || '"; filename*=UTF-8''''' || {_ENC.format('x')} AS header,
 {_EXT.format("regexp_extract(x, '([^/\\\\]*)$', 1)")} IN ({_s(N.SUPPORTED)[1:-1]}) AS supported, (lower(replace(x, '\\', '/')) = 'raws/ignored' OR starts_with(lower(replace(x, '\\', '/')), 'raws/ignored/')) AS inside FROM {_num(NAMES, 'x')}""",
     "number_functions": f"SELECT id, try_cast(regexp_extract(trim(x), '^([+-]?[0-9]+)', 1) AS BIGINT) AS whole, CASE WHEN try_cast(x AS DOUBLE) BETWEEN 1 AND 9007199254740991 AND try_cast(x AS DOUBLE) = floor(try_cast(x AS DOUBLE)) THEN try_cast(x AS DOUBLE)::BIGINT END AS row_id FROM {_num(NUMBERS, 'x')}",
+    "natural_order": f"""WITH k AS (SELECT id, x, list_transform(regexp_extract_all(x, '[0-9]+|[^0-9]+'), lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN '0' || lpad(length(regexp_replace(t, '^0+(.)', '\\1'))::VARCHAR, 4, '0') || regexp_replace(t, '^0+(.)', '\\1') ELSE '1' || lower(t) END) AS k FROM {_num(NAMES, 'x')})
+SELECT id, x, row_number() OVER (ORDER BY k, id)::INT AS place FROM k""",
     "human_size": f"SELECT id, {_SIZE_TEXT} AS text FROM (SELECT id, x::HUGEINT AS x FROM {_num(SIZES, 'x')})",
     "md_neutralise": f"""WITH {_BK}, w AS (SELECT * FROM bk WHERE header >= 14), o AS (SELECT ln.id, ln.ln, CASE WHEN w.id IS NULL THEN line WHEN ln = s THEN {_s(M.MARKER[0])} || header || {_s(M.MARKER[1])} || chr(10) || '> ' || line ELSE '> ' || line END AS line FROM ln LEFT JOIN w ON w.id = ln.id AND ln.ln BETWEEN s AND e)
 SELECT id, md5(string_agg(line, chr(10) ORDER BY ln)) AS md5, (SELECT count(*) FROM w WHERE w.id = o.id) AS blocks FROM o GROUP BY id""",
@@ -204,7 +204,8 @@ n AS (SELECT id, count(*) AS blocks FROM m GROUP BY id), o AS (SELECT id, string
 SELECT tb.id, md5(CASE WHEN n.id IS NULL THEN tb.text ELSE o.text END) AS md5, coalesce(blocks, 0) AS blocks FROM tb LEFT JOIN n USING (id) LEFT JOIN o USING (id)""",
     "chunk_screen": f"""WITH {_TB}, t AS (SELECT id, ln, {_tr('line')} AS line FROM ln), f AS (SELECT *, length(line) - length(replace(line, '|', '')) AS pipes, regexp_matches(line, '^\\|{_NL}*\\|{_WS}*$') AS gfm, coalesce(lead(regexp_matches(line, '{_STRICT}')) OVER (PARTITION BY id ORDER BY ln), false) AS over, regexp_matches(line, '{_STRICT}') AS strict FROM t),
 g AS (SELECT id, count(*) FILTER (WHERE NOT gfm AND NOT strict AND pipes >= 2) AS malformed, array_to_string((list(CASE WHEN length(line) > 70 THEN left(line, 70) || '…' ELSE line END ORDER BY ln) FILTER (WHERE NOT gfm AND pipes >= 2))[1:2], '` / `') AS examples, coalesce(max({_CELL}) FILTER (WHERE gfm AND over), 0) AS widest FROM f GROUP BY id)
-SELECT id, malformed, coalesce(examples, '') AS examples, widest, malformed > 0 OR widest >= 14 AS repair FROM g""",
+SELECT id, malformed, coalesce(examples, '') AS examples, widest, malformed > 0 OR widest >= 14 AS repair, concat_ws(' ', CASE WHEN malformed > 0 THEN malformed || ' line(s) carry table cells but are NOT well-formed GFM rows' || CASE WHEN coalesce(examples, '') = '' THEN '' ELSE ', e.g. `' || examples || '`' END || '. Every row of a table must start with `|`, end with `|`, and have EXACTLY as many cells as its header. Do not merge separate columns into one cell and do not leave a column label dangling inside a bold line.' END,
+CASE WHEN widest >= 14 THEN 'A table header has ' || widest || ' columns — that is a chart axis or decorative row, not data. Do NOT emit it as a table; keep its labels as plain text lines.' END) AS note FROM g""",
     "noise_removal": f"WITH {_TB} SELECT id, md5({_tr('''regexp_replace(regexp_replace(''' + 'regexp_replace(' * 4 + 'text' + ''.join(f", '(?im){p}', '', 'g')" for p in M.NOISE) + ''', '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')''')}) AS md5 FROM tb",
     "text_refresh": f"WITH {_EX}, t AS (SELECT id, {_tr('ocr')} AS o, digital AS n FROM ex) SELECT id, length(o) < 15 OR contains(o, '[No raw text extracted]') OR (length(n) > 20 AND o <> n) AS refresh FROM t",
     "extraction_choice": f"""WITH {_EX}, tt AS (SELECT id, {_GOTRIM.format('digital')} AS digital, {_GOTRIM.format('ocr')} AS ocr FROM ex), a AS (WITH src AS (SELECT id, digital AS text FROM tt), {_corrupt('src')} SELECT id, b IS NOT NULL AS bad FROM co), z AS (WITH src AS (SELECT id, ocr AS text FROM tt), {_corrupt('src')} SELECT id, b IS NOT NULL AS bad FROM co),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The white space of ECMAScript's trim and \s, as the inside of a character class.
@@ -19,6 +19,11 @@ def re2(pattern: str) -> str:
     return pattern.replace(r"\b", f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))")
 
 
+def once(rows: DataFrame, keep: list[str], name: str, *fields: Column) -> DataFrame:
+    """rows with a struct of fields that is worked out once; unlike a projection, a generator isn't merged with what reads it."""
+    return rows.select(*keep, F.explode(F.array(F.struct(*fields))).alias(name))
+
+
 def js_trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import compare_slug, extension, fold, forbidden_subcategory, generic_filename, re2, similarity, slug
+from quarry.functions.text import FORBIDDEN, compare_slug, extension, fold, forbidden_subcategory, generic_filename, re2, similarity, slug
 
 #: A small taxonomy in order: category, subcategory, aliases.
 TAXONOMY = [("invoices", "sfr", ["red by sfr"]), ("invoices", "edf", ["electricite de france"]), ("invoices", "bouygues_telecom", []), ("housing", "foncia", ["foncia paris"]), ("bank", "bnp_paribas", ["bnp"]), ("bank", "boursobank", ["boursorama"]), ("health", "lai_dental", []), ("administrative", "navigo", []), ("administrative", "edf", [])]
@@ -73,18 +73,45 @@ def priority_rules(decisions: DataFrame, stopwords: list[str], most: int = 25) -
     return newest.select(F.row_number().over(Window.orderBy(F.desc("id"))).alias("ord"), "id", "category", "subcategory", "keywords")
 
 
-def canonical_paths(docs: DataFrame, root: str, year: str) -> DataFrame:
-    """(id, path): root/category/subcategory/year/file of each row; year stands where the date has none. File names that say something stay."""
+def intelligent_name(today: str) -> Column:
+    """The file name of a row (original_filename, title, category, subcategory, date): a generic one becomes date_Entity_Title if there is a title, another stays.
+
+    The date is a whole one, else a year, else today; the entity is the
+    subcategory, if it says something, else the category, each word with a
+    capital; the title loses what isn't a letter, a digit, a space, _ or -,
+    and words that date or entity hold, and has 45 characters at most.
+    """
+    trimmed = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    words = lambda c: F.filter(F.split(c, r"[/\\_\s-]+"), lambda w: w != "")
+    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))
+    slugged = lambda c: F.array_join(F.transform(words(c), capital), "")
+    sub = F.when(forbidden_subcategory(F.col("subcategory")), "").otherwise(trimmed("subcategory"))
+    cat = F.when(F.coalesce("category", F.lit("")) == "", "other").otherwise(trimmed("category"))
+    entity = F.coalesce(F.nullif(slugged(sub), F.lit("")), F.nullif(slugged(cat), F.lit("")), F.lit("Document"))
+    iso, year, date = re2(r"\b(20\d{2})[-/._]?(\d{2})[-/._]?(\d{2})\b"), re2(r"\b(20\d{2})\b"), F.coalesce("date", F.lit(""))
+    stamp = F.when(date.rlike(iso), F.concat_ws("-", *(F.regexp_extract(date, iso, i) for i in (1, 2, 3)))).when(date.rlike(year), F.regexp_extract(date, year, 1)).otherwise(today)
+    title = F.coalesce("title", F.lit(""))
+    kept = F.filter(F.transform(words(F.trim(F.regexp_replace(fold(title), r"[^a-zA-Z0-9\s_-]", ""))), capital), lambda w: ~F.contains(stamp, F.lower(w)) & ~F.contains(F.lower(entity), F.lower(w)))
+    said = F.when(F.size(kept) == 0, "Document").otherwise(F.array_join(kept, "_"))
+    ext = F.coalesce(F.nullif(extension(F.col("original_filename")), F.lit("")), F.lit(".pdf"))
+    name = F.concat_ws("_", stamp, entity, F.concat(F.substring(said, 1, 45), F.lower(ext)))
+    return F.when((F.trim(title) != "") & generic_filename(F.col("original_filename")), name).otherwise(F.col("original_filename"))
+
+
+def canonical_paths(docs: DataFrame, root: str, today: str) -> DataFrame:
+    """(id, path): root/category/subcategory/year/file of each row; the year of today stands where the date has none.
+
+    A subcategory may have several parts; no subcategory and a year as one are
+    general, blanks alone are none. The file name is intelligent_name(). Row by row; ids may repeat.
+    """
+    segment = lambda c, rest: F.coalesce(F.nullif(F.regexp_replace(slug(c), "^[_.-]+|[_.-]+$", ""), F.lit("")), F.lit(rest))
+    cat = F.when(F.coalesce("category", F.lit("")) == "", "other").otherwise(F.lower(F.trim("category")))
     sub = F.when(F.coalesce("subcategory", F.lit("")) == "", "general").otherwise(F.lower(F.trim("subcategory")))
     sub = F.when(sub.rlike(r"^\d{4}$"), "general").otherwise(sub)
-    found = F.regexp_extract("date", re2(r"\b(20\d{2})\b"), 1)
-    cat = F.when(F.coalesce("category", F.lit("")) == "", "other").otherwise(F.col("category"))
-    segment = lambda c: F.regexp_replace(slug(c), "^[_.-]+|[_.-]+$", "")
-    words = F.filter(F.split(fold(F.regexp_replace(F.lower("title"), r"[^\p{L}\p{N} ]", "")), " +"), lambda w: w != "")
-    entity = F.when(forbidden_subcategory(F.col("subcategory")), segment(cat)).otherwise(segment(sub))
-    named = F.concat_ws("_", F.when(found == "", year).otherwise(found), entity, F.array_join(F.filter(words, lambda w: ~F.contains(entity, w)), "_"))
-    file = F.when((F.trim("title") != "") & generic_filename(F.col("original_filename")), F.concat(named, F.lower(extension(F.col("original_filename"))))).otherwise(F.col("original_filename"))
-    return docs.select("id", F.concat_ws("/", F.lit(root), segment(cat), segment(sub), F.when(found == "", year).otherwise(found), file).alias("path"))
+    parts = F.transform(F.filter(F.split(sub, r"[/\\]+"), lambda x: x != ""), lambda x: segment(x, "general"))
+    found = F.regexp_extract(F.coalesce("date", F.lit("")), re2(r"\b(20\d{2})\b"), 1)
+    year = F.when(found == "", today[:4]).otherwise(found)
+    return docs.select("id", F.array_join(F.concat(F.array(F.lit(root), segment(cat, "other")), parts, F.array(year, intelligent_name(today))), "/").alias("path"))
 
 
 def merge_overlay(base: DataFrame, overlay: DataFrame) -> DataFrame:
@@ -159,10 +186,10 @@ def renamed(docs: DataFrame, category: str, old: str, new: str) -> DataFrame:
     return docs.select("id", "category", F.when(same, new).otherwise(F.col("subcategory")).alias("subcategory"))
 
 
-def moves(docs: DataFrame, root: str, year: str) -> DataFrame:
+def moves(docs: DataFrame, root: str, today: str) -> DataFrame:
     """(id, new_path, path) of rows whose file is not where its canonical path says; a plan, no file is moved."""
     tidy = lambda c: F.lower(F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), "/+", "/"))
-    both = docs.select("id", "new_path").join(canonical_paths(docs, root, year), "id")
+    both = docs.select("id", "new_path").join(canonical_paths(docs, root, today), "id")
     return both.where(tidy(F.col("new_path")) != tidy(F.col("path")))
 
 
@@ -172,3 +199,31 @@ def numbered(files: DataFrame, suffix: str) -> DataFrame:
     ext = extension(F.col("name"))
     stem = F.substr("name", F.lit(1), F.length("name") - F.length(ext))
     return files.withColumn("i", i).select("id", "name", F.when(F.col("i") == 0, F.col("name")).otherwise(F.concat(stem, F.lit(f"_{suffix}"), F.col("i").cast("string"), ext)).alias("unique_name"))
+
+
+def composed_rules(curated: DataFrame, learned: DataFrame) -> DataFrame:
+    """(ord, category, subcategory, keywords, origin): curated rules (ord, ...) in their order, those learned from decisions after them."""
+    both = curated.select(F.lit(0).alias("o"), "ord", "category", "subcategory", "keywords").unionByName(learned.select(F.lit(1).alias("o"), "ord", "category", "subcategory", "keywords"))
+    return both.select(F.row_number().over(Window.orderBy("o", "ord")).alias("ord"), "category", "subcategory", "keywords", F.when(F.col("o") == 0, "curated").otherwise("learned").alias("origin"))
+
+
+#: The block of hints, and its line for each.
+HINTS = ("STEP 0: TAXONOMY DUPLICATE GUARD (read BEFORE classifying):", "- The following category/subcategory slugs were proposed by a previous run but BLOCKED because an identical or near-identical instance already exists. NEVER return them as new categories/subcategories — always reuse the exact existing slug under its existing category:")
+
+
+def hint_lines(hints: DataFrame) -> DataFrame:
+    """(ord, line) of hints (ord, proposed_category, proposed_subcategory, mapped_category, mapped_subcategory, hint) that name a category and say something."""
+    joined = lambda a, b: F.array_join(F.filter(F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))), lambda x: x != ""), "/")
+    proposed = F.coalesce(F.nullif(joined("proposed_category", "proposed_subcategory"), F.lit("")), F.lit("?"))
+    told = hints.where("coalesce(mapped_category, '') <> '' AND coalesce(hint, '') <> ''")
+    return told.select("ord", F.format_string('- "%s" → ALWAYS use "%s". %s', proposed, joined("mapped_category", "mapped_subcategory"), "hint").alias("line"))
+
+
+def narrow_forbidden(c: Column) -> Column:
+    """Whether a subcategory is one of the words that name none, as it stands."""
+    return F.coalesce(c.isin(FORBIDDEN), F.lit(False))
+
+
+def generic_category(c: Column) -> Column:
+    """Whether a category, trimmed and in letters of either case, is empty or says nothing."""
+    return F.lower(F.trim(F.coalesce(c, F.lit("")))).isin("", "general", "other", "divers")

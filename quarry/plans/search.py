@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import fold, re2
+from quarry.functions.cuts import cut, shared_folder
+from quarry.functions.text import JS_SPACE, fold, once, re2
 
 #: Weights of the indexed columns, k1 and b of BM25, the least idf.
-WEIGHTS = {"title": 10.0, "original_filename": 1.0, "original_path": 1.0, "summary": 3.0, "category": 2.0, "subcategory": 2.0, "tags": 6.0, "raw_text": 0.5}
+WEIGHTS = {"title": 10.0, "original_filename": 1.0, "original_path": 1.0, "new_path": 1.0, "registre": 1.0, "summary": 3.0, "category": 2.0, "subcategory": 2.0, "tags": 6.0, "raw_text": 0.5}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 #: Words of a question that aren't searched for.
@@ -24,6 +26,15 @@ STOPWORDS = (
 ).split()
 
 
+_SPACES = re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", JS_SPACE)
+
+
+def normalised(terms: tuple[str, ...]) -> tuple[str, ...]:
+    """Terms without white space at the ends, those with a letter or a digit, once each in letters of either case."""
+    trimmed = [re.sub(f"^[{_SPACES}]+|[{_SPACES}]+$", "", t) for t in terms]
+    return tuple({t.lower(): t for t in reversed(trimmed) if any(c.isalnum() for c in t)}[k] for k in dict.fromkeys(t.lower() for t in trimmed if any(c.isalnum() for c in t)))
+
+
 @dataclass(frozen=True)
 class Query:
     """Facets of a search: all facets must match, each by any of its phrases; no row may hold a phrase of not_terms."""
@@ -36,9 +47,15 @@ class Query:
     subcategory: str | None = None
     date_from: str | None = None
     date_to: str | None = None
+    limit: int | None = None
 
     def facets(self) -> list[tuple[str, ...]]:
-        return [f for f in (self.doc_types, self.entities, self.keywords) if f]
+        return [f for f in map(normalised, (self.doc_types, self.entities, self.keywords)) if f]
+
+    def phrases(self) -> list[str]:
+        """Every phrase that is counted, once."""
+        found = dict.fromkeys(p for f in [*self.facets(), normalised(self.not_terms)] for p in f)
+        return [p for p in found if _plain(p)]
 
     def ladder(self) -> list[Query]:
         """This query, then without keywords, without not_terms, without entities; rungs that ask for nothing end it."""
@@ -74,52 +91,151 @@ def _count(spaced: Column, phrase: tuple[str, ...]) -> Column:
     return _hits(spaced, " " + "  ".join(phrase) + " ").cast("long")
 
 
-def _once(rows: DataFrame, keep: list[str], name: str, *fields: Column) -> DataFrame:
-    """rows with a struct of fields that is worked out once; unlike a projection, a generator isn't merged with what reads it."""
-    return rows.select(*keep, F.explode(F.array(F.struct(*fields))).alias(name))
+#: Columns of the registry that filters read.
+FILTERED = ["category", "subcategory", "date"]
 
 
-def search(docs: DataFrame, query: Query, limit: int = 10) -> DataFrame:
-    """(rank, id, score) of the best rows by weighted BM25, the lowest score first, ties by id.
+def _indexed(c: str) -> Column:
+    """A column as it is indexed: nothing in the subcategory as general, no tags as an empty array."""
+    return F.coalesce(c, F.lit({"subcategory": "general", "tags": "[]"}.get(c, "")))
+
 
-    One pass counts the phrases of each row; the frequencies are one row of
-    sums, whose size the number of phrases bounds, joined back to score the
-    rows that match. Filters come before the limit, categories compare by case.
+def counted(docs: DataFrame, phrases: list[str]) -> DataFrame:
+    """One narrow row for each row of docs: id, the filtered columns, its length d in terms and, for each phrase, its weighted count f0, f1, ...
+
+    The only pass that reads texts; its result is kept, as the frequencies
+    and the scores both need it.
     """
-    names = list(dict.fromkeys(p for f in [*query.facets(), query.not_terms] for p in f))
-    phrases = {n: _plain(n) for n in names}
-    names = [n for n in names if phrases[n]]
-    keep = ["id", "category", "subcategory", "date"]
-    spaced = _once(docs, keep, "t", *(_spaced(F.col(c)).alias(c) for c in WEIGHTS))
+    spaced = once(docs, ["id", *FILTERED], "t", *(_spaced(_indexed(c)).alias(c) for c in WEIGHTS))
     length = reduce(lambda a, b: a + b, [F.when(F.col(f"t.{c}") == "", 0).otherwise(_hits(F.col(f"t.{c}"), "  ") + 1) for c in WEIGHTS]).cast("long")
-    counts = [F.struct(*(_count(F.col(f"t.{c}"), phrases[n]).alias(c) for c in WEIGHTS)).alias(f"p{i}") for i, n in enumerate(names)]
-    rows = _once(spaced, keep, "x", length.alias("d"), *counts).select(*keep, "x.*")
-    held = {n: reduce(lambda a, b: a | b, [F.col(f"p{i}")[c] > 0 for c in WEIGHTS]) for i, n in enumerate(names)}
-    sums = rows.agg(F.count("*").alias("n_rows"), F.avg("d").alias("avg_d"), *(F.sum(held[n].cast("long")).alias(f"df{i}") for i, n in enumerate(names)))
-    match = reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [held[p] for p in f if p in held], F.lit(False)) for f in query.facets()], F.lit(bool(query.facets())))
-    for p in query.not_terms:
-        match = match & ~held.get(p, F.lit(False))
+    weighed = [reduce(lambda a, b: a + b, [F.lit(w) * _count(F.col(f"t.{c}"), _plain(p)) for c, w in WEIGHTS.items()]).alias(f"f{i}") for i, p in enumerate(phrases)]
+    return cut(once(spaced, ["id", *FILTERED], "x", length.alias("d"), *weighed).select("id", *FILTERED, "x.*"))
+
+
+def _totals(rows: DataFrame, phrases: list[str]) -> list[Column]:
+    return [F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(phrases))]
+
+
+def ranked(rows: DataFrame, totals: DataFrame, phrases: list[str], query: Query, limit: int = 10) -> DataFrame:
+    """(rank, id, score) of the best of counted rows by weighted BM25, the lowest score first, ties by id.
+
+    totals is one row: n_rows and avg_d of the whole table, n0, n1, ... rows
+    that hold each phrase. Filters come before the limit; categories compare by case.
+    """
+    f = {p: F.col(f"f{i}") for i, p in enumerate(phrases)}
+    match = reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [f[p] > 0 for p in facet if p in f], F.lit(False)) for facet in query.facets()], F.lit(bool(query.facets())))
+    for p in normalised(query.not_terms):
+        match = match & ~(f[p] > 0) if p in f else match
     for c, v in (("category", query.category), ("subcategory", query.subcategory)):
         match = match & (F.col(c) == v) if v else match
     match = match & (F.col("date") != "") & (F.col("date") >= query.date_from) if query.date_from else match
     match = match & (F.col("date") != "") & (F.col("date") <= query.date_to) if query.date_to else match
-    wanted = [n for n in names if any(n in f for f in query.facets())]
     score = F.lit(0.0)
-    for i, n in enumerate(names):
-        if n in wanted:
-            idf = F.log((F.col("n_rows") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+    for i, p in enumerate(phrases):
+        if any(p in facet for facet in query.facets()):
+            idf = F.log((F.col("n_rows") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
             idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-            f = reduce(lambda a, b: a + b, [F.lit(w) * F.col(f"p{i}")[c] for c, w in WEIGHTS.items()])
-            score = score - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("d") / F.col("avg_d")))
-    found = rows.where(match).join(F.broadcast(sums), how="cross").select("id", F.round(score, 9).alias("score")).orderBy("score", "id").limit(limit)
+            score = score - idf * f[p] * (K1 + 1) / (f[p] + K1 * (1 - B + B * F.col("d") / F.col("avg_d")))
+    found = rows.where(match).join(F.broadcast(totals), how="cross").select("id", F.round(score, 9).alias("score")).orderBy("score", "id").limit(limit)
     return found.select(F.row_number().over(Window.orderBy("score", "id")).alias("rank"), "id", "score")
 
 
+def _scan(docs: DataFrame, query: Query) -> tuple[DataFrame, DataFrame, list[str]]:
+    phrases = query.phrases()
+    rows = counted(docs, phrases)
+    return rows, rows.agg(F.count("*").alias("n_rows"), F.avg("d").alias("avg_d"), *_totals(rows, phrases)), phrases
+
+
+def search(docs: DataFrame, query: Query, limit: int = 10) -> DataFrame:
+    """(rank, id, score) of the best rows of docs, by one pass over their texts; see ranked().
+
+    Null columns read as empty (no subcategory as general); rows of one id are
+    ranked each; an empty table, or a query without a phrase, gives none.
+    """
+    rows, totals, phrases = _scan(docs, query)
+    return ranked(rows, totals, phrases, query, limit)
+
+
 def relaxed(docs: DataFrame, query: Query, limit: int = 10) -> DataFrame:
-    """(rung, rank, id, score) of the first rung of the ladder that finds anything."""
-    out = reduce(DataFrame.unionByName, [search(docs, q, limit).select(F.lit(i).alias("rung"), "*") for i, q in enumerate(query.ladder())])
-    first = Window.partitionBy(F.lit(1))
-    return out.withColumn("_first", F.min("rung").over(first)).where("rung = _first").drop("_first")
+    """(rung, rank, id, score) of the first rung of the ladder that finds anything; all rungs read the same counts."""
+    rows, totals, phrases = _scan(docs, query)
+    rungs = [ranked(rows, totals, phrases, q, limit).select(F.lit(i).alias("rung"), "*") for i, q in enumerate(query.ladder())]
+    if not rungs:
+        return docs.sparkSession.createDataFrame([], "rung int, rank int, id long, score double")
+    out = reduce(DataFrame.unionByName, rungs)
+    return out.withColumn("_first", F.min("rung").over(Window.partitionBy(F.lit(1)))).where("rung = _first").drop("_first")
+
+
+@dataclass(frozen=True)
+class Index:
+    """postings (bucket, term, col, id, pos) and documents (id, the filtered columns, d), as write_index() left them."""
+
+    postings: DataFrame
+    documents: DataFrame
+    buckets: int
+
+
+def write_index(docs: DataFrame, path: str, buckets: int = 64) -> None:
+    """Writes the postings of the indexed columns, by buckets of terms, and the lengths of the rows.
+
+    One shuffle, by ranges of bucket, term and id, so that a common term is
+    spread over tasks; a search reads the row groups of its terms alone.
+    """
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    terms = F.array(*(F.struct(F.lit(i).alias("col"), F.split(F.trim(_spaced(_indexed(c))), "  ").alias("terms")) for i, c in enumerate(WEIGHTS)))
+    rows = docs.select("id", *FILTERED, F.filter(terms, lambda x: F.get(x["terms"], F.lit(0)) != "").alias("t"))
+    each = rows.select("id", F.explode("t").alias("t")).select("id", "t.col", F.posexplode("t.terms").alias("pos", "term"))
+    each.withColumn("bucket", bucket).repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    length = F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + F.size(x["terms"]))
+    rows.select("id", *FILTERED, length.alias("d")).write.mode("overwrite").parquet(f"{path}/documents")
+    docs.sparkSession.createDataFrame([(list(WEIGHTS), buckets)], "columns array<string>, buckets int").write.mode("overwrite").parquet(f"{path}/layout")
+
+
+def open_index(docs: DataFrame, path: str, buckets: int = 64) -> Index:
+    """The index at path; it is written anew if it isn't there, if it is of other columns, or if it is empty and docs isn't."""
+    spark = docs.sparkSession
+    try:
+        layout = spark.read.parquet(f"{path}/layout").first()
+        held = spark.read.parquet(f"{path}/documents")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        layout = held = None
+    if layout is None or layout["columns"] != list(WEIGHTS) or (held.isEmpty() and not docs.isEmpty()):
+        write_index(docs, path, buckets)
+        layout = spark.read.parquet(f"{path}/layout").first()
+    schema = "term string, col int, id long, pos int, bucket int"
+    return Index(spark.read.schema(schema).parquet(f"{path}/postings"), spark.read.parquet(f"{path}/documents"), layout["buckets"])
+
+
+def search_index(index: Index, query: Query, limit: int = 10) -> DataFrame:
+    """(rank, id, score) as search() gives them, from the postings of the query's terms alone."""
+    phrases = query.phrases()
+    terms = sorted({t for p in phrases for t in _plain(p)})
+    wanted = index.postings.where(F.col("bucket").isin([r[0] for r in index.postings.sparkSession.range(1).select(F.explode(F.array(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(index.buckets)).cast("int") for t in terms)))).collect()] if terms else [])).where(F.col("term").isin(terms))
+    held = wanted.groupBy("id", "col").agg(*(F.collect_list(F.when(F.col("term") == t, F.col("pos"))).alias(f"t{i}") for i, t in enumerate(terms)))
+    place = {t: F.col(f"t{i}") for i, t in enumerate(terms)}
+
+    def starts(plain: tuple[str, ...]) -> Column:
+        follows = lambda p: reduce(lambda a, b: a & b, [F.array_contains(place[t], p + j) for j, t in enumerate(plain)])
+        return F.size(F.filter(place[plain[0]], follows))
+
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS.values())), F.col("col") + 1)
+    rows = held.groupBy("id").agg(F.count("*").alias("cols"), *(F.sum(weight * starts(_plain(p))).alias(f"f{i}") for i, p in enumerate(phrases)))
+    rows = index.documents.join(rows, "id")
+    whole = index.documents.agg(F.count("*").alias("n_rows"), F.avg("d").alias("avg_d"))
+    totals = whole.join(F.broadcast(rows.agg(F.count("*").alias("found"), *(F.coalesce(t, F.lit(0)).alias(f"n{i}") for i, t in enumerate(_totals(rows, phrases))))), how="cross")
+    return ranked(rows, totals, phrases, query, limit)
+
+
+def searched_by_index(docs: DataFrame, query: Query, limit: int = 10) -> DataFrame:
+    """search_index() over an index that is written to the shared folder for this one call and removed after it."""
+    spark = docs.sparkSession
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    out = cut(search_index(open_index(docs, path), query, limit))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return out
 
 
 def plan(messages: DataFrame) -> DataFrame:
@@ -175,9 +291,19 @@ def token_scores(docs: DataFrame, message: str) -> DataFrame:
     return docs.select("id", score.cast("long").alias("score"), document_day(F.col("date")).alias("day"))
 
 
-def scored(docs: DataFrame, message: str, limit: int = 10, fallback: int = 5) -> DataFrame:
-    """(rank, id, score, day): the best rows, then the newest; without any point the newest rows alone."""
-    rows = token_scores(docs, message)
+def asked_for(message: str) -> int | None:
+    """The number of documents that a message asks for, 1 to 20, or None; see requested_count()."""
+    low = message.lower()
+    named = re.search(COUNT_NOUN, low, re.ASCII)
+    if named and 1 <= int(named[1]) <= 20:
+        return int(named[1])
+    return next((n for n, p in COUNT_WORDS if re.search(p, low, re.ASCII)), None)
+
+
+def scored(docs: DataFrame, message: str) -> DataFrame:
+    """(rank, id, score, day): the best rows, as many as the message asks for, else 10; without any point the newest, as many or 5."""
+    rows, asked = token_scores(docs, message), asked_for(message)
+    limit, fallback = asked or 10, asked or 5
     best = rows.where("score > 0").orderBy(F.desc("score"), F.desc("day"), F.desc("id")).limit(limit)
     newest = rows.orderBy(F.desc("day"), F.desc("id")).limit(fallback).withColumn("_any", F.lit(1))
     some = best.agg(F.count("*").alias("found"))  # one row
@@ -194,7 +320,12 @@ def one_per_month(docs: DataFrame) -> DataFrame:
 
 
 def cited(answers: DataFrame) -> DataFrame:
-    """(id, doc_id) of the retrieved documents that an answer keeps, from (id, answer, doc_ids): those it cites if they are half or more, else all."""
+    """(id, doc_id) of the retrieved documents that an answer keeps, from (id, answer, doc_ids, asked).
+
+    Those it cites, if they are as many as were asked for or as there are, or
+    half or more where no number was asked for (null); else all.
+    """
     ids = F.transform(F.regexp_extract_all("answer", F.lit(r"(?i)\[doc #(\d+)"), F.lit(1)), lambda x: x.cast("long"))
     kept = F.array_intersect("doc_ids", ids)
-    return answers.select("id", F.explode(F.when(F.size(kept) >= F.ceil(F.size("doc_ids") / 2), kept).otherwise(F.col("doc_ids"))).alias("doc_id"))
+    least = F.when(F.col("asked").isNotNull(), F.least("asked", F.size("doc_ids"))).otherwise(F.ceil(F.size("doc_ids") / 2))
+    return answers.select("id", F.explode(F.when((F.size(ids) > 0) & (F.size(kept) >= least), kept).otherwise(F.col("doc_ids"))).alias("doc_id"))

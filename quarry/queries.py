@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +34,6 @@ def _docs(f):
     return lambda spark, sf_dir: f(R.registry(spark, sf_dir))
 
 
-def _signal(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("signal", F.right("raw_text", F.lit(60)))
-
-
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").where("role = 'user'")
     asked = ["", " 2 derniers relevés 2023", " last 3", " trois factures 2019 2021", " single 1949", " 25 documents"]
@@ -60,7 +58,7 @@ def _literal(spark: SparkSession, rows: list, schema: str) -> DataFrame:
 PROPOSED = [("invoices", "foncia"), ("invoices", "sfr"), ("bank", "bouyguestelecom"), ("bank", "boursorama"), ("health", "laidentail"), ("bank", "impot"), ("other", "inpi"), ("housing", "Electricité de France"), ("bank", "navigoo")]
 OWNED = [("invoices", "sfr"), ("bank", "foncia"), ("bank", "edf"), ("administrative", "edf"), ("x", "nope")]
 DECISIONS = [(1, "NORTHWIND_2024.pdf", "Northwind Academy — certificat de scolarité", "education", "northwind", 1), (2, "facture_les_3.pdf", "Facture EDF", "invoices", "edf", None), (3, "a.pdf", "b", "x", "y", 1), (4, "scan edf.pdf", "EDF contrat", "invoices", "general", 1), (5, "loyer.pdf", "Quittance loyer", "housing", "foncia", 0), (6, "Système santé.pdf", "Santé", "health", "ameli", 1)]
-ANSWERS = [(1, "voir [Doc #3] et [doc #1: x]", [1, 2, 3]), (2, "rien", [4, 5]), (3, "[Doc #9]", [7, 8, 9, 10]), (4, "[DOC #7] [Doc #99]", [7])]
+ANSWERS = [(1, "voir [Doc #3] et [doc #1: x]", [1, 2, 3], None), (2, "rien", [4, 5], None), (3, "[Doc #9]", [7, 8, 9, 10], None), (4, "[DOC #7] [Doc #99]", [7], None), (5, "[Doc #9]", [7, 8, 9, 10], 1), (6, "[Doc #9] [doc #8]", [7, 8, 9, 10], 3), (7, "[Doc #1][Doc #2]", [1, 2], 9), (8, "[Doc #77]", [1, 2], 1)]
 PAGES = [(1, 1000.0, 500.0), (2, 300.0, 900.0), (3, 0.0, 10.0), (4, 595.28, 841.89), (5, 100.0, 100.0)]
 BOXES = [(1, False, (0.0, 0.0, 10.0, 10.0), (1.0, 1.0, 9.0, 9.0)), (2, False, (0.0, 0.0, 10.0, 10.0), (8.0, 8.0, 9.0, 9.0)), (3, True, (0.0, 0.0, 1.0, 1.0), (0.0, 0.0, 1.0, 1.0)), (4, False, None, None), (5, False, (0.0, 0.0, 5.0, 5.0), None), (6, False, None, (0.0, 0.0, 5.0, 5.0))]
 
@@ -73,12 +71,6 @@ def _blocked(docs: DataFrame) -> DataFrame:
     return docs.where("id % 5 = 0").select("original_path", (F.col("id") % 50).cast("double").alias("mtime_ms"), (F.col("id") % 7).alias("size")).distinct()
 
 
-def blocked_upsert_prune(docs: DataFrame) -> DataFrame:
-    old = docs.where("id % 4 = 0").groupBy("original_path").agg(F.min("id").alias("size"))
-    new = docs.where("id % 6 = 0").groupBy("original_path").agg(F.max("id").alias("size"))
-    return R.prune(R.upsert(old, new, "original_path"), docs.where("category <> 'bank'"), "original_path")
-
-
 def partial_update(docs: DataFrame) -> DataFrame:
     i = F.col("id")
     changes = docs.where("id % 3 = 0").select("id", F.when(i % 2 == 0, "new").alias("title"), F.when(i % 4 < 3, "nouveau").alias("title_fr"), F.when(i % 5 == 0, "").alias("subcategory"), F.lit(None).cast("string").alias("subcategory_fr"))
@@ -98,17 +90,25 @@ QUERIES = {
     "requested_count": lambda s, d: _messages(s, d).select("id", P.requested_count(F.col("message")).alias("n")),
     "token_scorer": _docs(lambda d: P.scored(d, MESSAGE)),
     "token_scorer_fallback": _docs(lambda d: P.scored(d, "zzqx")),
+    "prepare_dossier": _docs(lambda d: P.scored(d, "QUITTANCE Housing".lower())),
+    "fts_index_topk": _docs(lambda d: P.searched_by_index(d, FACETS)),
+    "fts_index_not": _docs(lambda d: P.searched_by_index(d, NEGATED)),
     "doc_date_parse": _docs(lambda d: d.select("id", P.document_day(F.col("date")).alias("day"))),
     "payslip_dedupe": _docs(P.one_per_month),
-    "citation_prune": lambda s, d: P.cited(_literal(s, ANSWERS, "id long, answer string, doc_ids array<long>")),
-    "registry_list": _docs(lambda d: R.listing(d, category="INVOICES", q="SFR")),
-    "tool_search": _docs(lambda d: R.tool_search(d, "santé", "pdf", 20)),
+    "citation_prune": lambda s, d: P.cited(_literal(s, ANSWERS, "id long, answer string, doc_ids array<long>, asked int")),
+    "registry_list": _docs(lambda d: R.listing(d, category="INVOICES", q="SFR").withColumn("tags", F.array_join("tags", ","))),
+    "registry_list_subcategory": _docs(lambda d: R.listing(d, subcategory="Sfr").select("id", "subcategory")),
+    "registry_lookup": _docs(lambda d: R.lookup(d, 7).unionByName(R.lookup(d, checksum=hashlib.sha256(b"").hexdigest())).unionByName(R.lookup(d, -1)).select("id", "title", "checksum")),
+    "tool_search": _docs(lambda d: R.tool_search(d, "santé", kind="pdf")),
+    "tool_search_tail": _docs(lambda d: R.tool_search(d, "17 B", category="BANK", limit=-3)),
     "registry_csv_line": _docs(R.csv_lines),
+    "registry_csv_filtered": _docs(lambda d: R.csv_lines(d, category="bank", q="sfr")),
+    "registry_json_line": _docs(R.json_lines),
+    "insert_defaults": _docs(lambda d: R.with_defaults(d.select("id", "subcategory", "file_type", F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, F.col("status")).alias("status"), F.when(F.col("id") % 2 == 0, F.col("tags")).alias("tags"), "embedding", "original_filename", F.when(F.col("id") % 5 > 0, F.col("title")).alias("title")))),
     "category_stats": _docs(R.category_stats),
     "category_tree_counts": lambda s, d: R.category_tree(R.registry(s, d), X.taxonomy(s).select("category", "subcategory")),
     "checksum_dedup": _docs(lambda d: R.first_by_checksum(d.where("id % 10 <> 0"), d.where("id % 10 = 0"))),
     "blocked_skip": _docs(lambda d: R.unblocked(_files(d), _blocked(d)).groupBy("original_path").agg(F.count("*").alias("n"))),
-    "blocked_upsert_prune": _docs(blocked_upsert_prune),
     "partial_update": _docs(partial_update),
     "collision_names": _docs(lambda d: R.collision_names(d.select("id", F.col("title").alias("name")))),
     "clean_text": _docs(lambda d: d.select("id", Q.clean(F.concat(F.lit(" \r\n\n\n"), F.replace("raw_text", F.lit(". "), F.lit(".\r\n\r\n\n")))).alias("t")).select("id", F.length("t").cast("long").alias("chars"), F.md5("t").alias("md5"))),
@@ -116,23 +116,20 @@ QUERIES = {
     "prose_score": lambda s, d: _table(s, d, "documents").select(F.col("doc_id").alias("id"), Q.prose(F.col("text")).alias("p")).select("id", "p.tokens", "p.score"),
     "corruption_windows": lambda s, d: Q.corruption(_mangled(s, d)),
     "thin_layer": lambda s, d: Q.thin_layer(_table(s, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 9 == 0, "watermark\nwatermark\nwatermark").otherwise(F.col("text")).alias("text"), ((F.col("doc_id") % 5) * 4).alias("pages"))),
-    "content_recall": _docs(lambda d: Q.recall(d.select("id", F.col("raw_text").alias("raw"), F.when(F.col("id") % 2 == 0, F.substring("raw_text", 1, 500)).otherwise(F.col("raw_text")).alias("markdown")))),
+    "content_recall": _docs(lambda d: Q.recall(d.select("id", F.col("raw_text").alias("raw"), F.when(F.col("id") % 2 == 0, F.regexp_replace("raw_text", "[a-zà-ÿ]*[eo]n[a-zà-ÿ]*", "x")).otherwise(F.col("raw_text")).alias("markdown")))),
     "malformed_pipes": lambda s, d: _tabled(s, d).select("id", Q.malformed_lines("text").alias("n")),
     "md_edge_pipes": lambda s, d: _tabled(s, d).select("id", F.md5(Q.edge_pipes("text")).alias("md5")),
     "md_table_audit": lambda s, d: Q.audit(_tabled(s, d)),
     "md_table_blocks": lambda s, d: Q.table_blocks(_tabled(s, d)),
-    "quality_gate": lambda s, d: Q.gate(_tabled(s, d).select("id", F.col("text").alias("raw"), F.col("text").alias("markdown"))),
     "scalar_functions": _docs(scalars),
     "entity_match": lambda s, d: C.entity_match(R.registry(s, d).select("id", F.col("raw_text").alias("text")), C.dictionary(s)),
-    "overlay_match": _docs(lambda d: C.overlay_match(_signal(d))),
-    "rule_classify": _docs(lambda d: C.rule_classify(_signal(d), TODAY)),
     "priority_override": lambda s, d: C.priority_override(R.registry(s, d).select("id", F.when(F.col("id") % 3 == 0, "other").otherwise(F.col("category")).alias("category"), "subcategory").join(C.entity_match(R.registry(s, d).select("id", F.col("raw_text").alias("text")), C.dictionary(s)), "id", "left")),
     "subcategory_conflict": lambda s, d: X.subcategory_conflicts(_literal(s, PROPOSED, "category string, subcategory string"), X.taxonomy(s)),
     "canonical_owner": lambda s, d: X.canonical_owner(_literal(s, OWNED, "category string, subcategory string"), X.taxonomy(s)),
     "taxonomy_merge": lambda s, d: X.merge_subcategory(X.taxonomy(s), "invoices", "bouygues_telecom", "sfr"),
     "derive_keywords": lambda s, d: X.derive_keywords(_literal(s, DECISIONS, "id long, original_filename string, title string, category string, subcategory string, enabled int"), STOP),
     "priority_rules": lambda s, d: X.priority_rules(_literal(s, DECISIONS, "id long, original_filename string, title string, category string, subcategory string, enabled int"), STOP),
-    "canonical_path": _docs(lambda d: X.canonical_paths(d, "root", TODAY[:4])),
+    "canonical_path": _docs(lambda d: X.canonical_paths(d, "root", TODAY)),
     "log_sessions": lambda s, d: Z.sessions(Z.logs(_table(s, d, "events"))),
     "recent_ring": lambda s, d: Z.ring(Z.logs(_table(s, d, "events"))),
     "rate_limit": lambda s, d: Z.rate_limited(_table(s, d, "events"), 86400),
@@ -164,7 +161,9 @@ def _pick(values: list, by: str = "doc_id") -> str:
 
 
 _REG = f"""r AS (SELECT doc_id AS id, sha256(coalesce(text, '')) AS checksum, {_pick(R.TITLES)} AS title, {_pick(R.CATEGORIES)} AS category, {_pick(R.SUBCATEGORIES)} AS subcategory, {_pick(R.DATES)} AS date,
-{_pick(R.FILES)} AS original_filename, 'C:/raws/' || source || '/' || {_pick(R.FILES)} AS original_path, '["' || lang || '","' || source || '"]' AS tags, 'résumé' || chr(10) || lang AS summary, coalesce(text, '') || ' ' || {_pick(R.PHRASES)} AS raw_text FROM documents)"""
+{_pick(R.FILES)} AS original_filename, 'C:/raws/' || source || '/' || {_pick(R.FILES)} AS original_path, '["' || lang || '","' || source || '"]' AS tags, 'résumé' || chr(10) || lang AS summary, coalesce(text, '') || ' ' || {_pick(R.PHRASES)} AS raw_text,
+{_pick(R.REFERENCES)} AS registre, CASE WHEN doc_id % 3 = 1 THEN '' ELSE 'D:/archive/' || source || '/' || {_pick(R.FILES)} END AS new_path, '# ' || {_pick(R.TITLES)} || chr(10) || chr(10) || coalesce(text, '') AS markdown_content, {_pick(R.EXPIRIES)} AS expiry_date, {_pick(R.AMOUNTS)} AS total_amount, {_pick(R.VATS)} AS vat_amount, {_pick(R.SIRENS)} AS siren, {_pick(R.IBANS)} AS iban,
+{_pick(R.NAMES)} AS contact_name, {_pick(R.EMAILS)} AS contact_email, {_pick(R.PHONES)} AS contact_phone, {_pick(R.ADDRESSES)} AS contact_address, {_pick(R.SITES)} AS contact_website, {_pick(R.KINDS)} AS file_type, {_pick(R.STATUSES)} AS status, {_pick(R.STAMPS)} AS created_at, {_pick(R.STAMPS[::-1])} AS updated_at FROM documents)"""
 _WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _EXTENSION = "regexp_extract(regexp_extract({0}, '([^/\\\\]*)$', 1), '(?s)[^.].*?(\\.[^.]*)$', 1)"
 _GENERAL = "coalesce(nullif(subcategory, ''), 'general')"
@@ -179,6 +178,16 @@ def _kind(x: str) -> str:
     return f"CASE WHEN {e} IN ('.png','.jpg','.jpeg','.webp','.bmp','.tiff') THEN 'IMAGE' WHEN {e} IN ('.txt','.md','.csv','.log','.json') THEN 'TEXT' WHEN {e} IN ('.docx','.doc') THEN 'WORD' WHEN {e} IN ('.xlsx','.xls') THEN 'EXCEL' ELSE 'PDF' END"
 
 
+_KIND = f"coalesce(nullif(file_type, ''), {_kind('original_filename')})"
+
+
+def _any(q: str, fields: str) -> str:
+    return " OR ".join(f"contains(lower({f}), {_s(q)})" for f in fields.split())
+
+
+_CSV = """array_to_string(list_transform([id::VARCHAR, checksum, title, category, subcategory, date, expiry_date, total_amount, vat_amount, siren, iban, contact_name, contact_email, contact_phone, contact_address, contact_website, registre, status, regexp_replace(summary, '\\r?\\n', ' ', 'g'), original_filename, coalesce(nullif(new_path, ''), original_path)], lambda x: '"' || replace(x, '"', '""') || '"'), ',')"""
+
+
 def _slug(x: str) -> str:
     return f"regexp_replace(regexp_replace(lower(trim(strip_accents({x}))), '[^a-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g')"
 
@@ -202,6 +211,9 @@ def _generic(x: str) -> str:
     return f"(length({stem}) <= 3 OR " + " OR ".join(f"regexp_matches({stem}, '{p}')" for p in shapes) + ")"
 
 
+_WEIGHED = {"title": 10.0, "original_filename": 1.0, "original_path": 1.0, "new_path": 1.0, "registre": 1.0, "summary": 3.0, "category": 2.0, "subcategory": 2.0, "tags": 6.0, "raw_text": 0.5}
+
+
 def _fts(q: P.Query, limit: int = 10) -> str:
     import re
     import unicodedata
@@ -213,7 +225,7 @@ def _fts(q: P.Query, limit: int = 10) -> str:
         t = plain(p)
         return "len(list_filter(range(1, len({0}) + 1), lambda i: {1}))".format(f"t_{c}", " AND ".join(f"t_{c}[i + {j}] = {_s(w)}" for j, w in enumerate(t)))
 
-    cols = list(P.WEIGHTS)
+    cols = list(_WEIGHED)
     toks = ", ".join(f"list_filter(regexp_split_to_array(strip_accents(lower({c})), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t_{c}" for c in cols)
     counts = ", ".join(f"{tf(c, p)} AS f{i}_{c}" for i, p in enumerate(names) for c in cols)
     held = {p: "(" + " + ".join(f"f{i}_{c}" for c in cols) + " > 0)" for i, p in enumerate(names)}
@@ -225,7 +237,7 @@ def _fts(q: P.Query, limit: int = 10) -> str:
     parts = []
     for i, p in enumerate(names):
         if any(p in f for f in q.facets()):
-            w = "(" + " + ".join(f"{P.WEIGHTS[c]} * f{i}_{c}" for c in cols) + ")"
+            w = "(" + " + ".join(f"{_WEIGHED[c]} * f{i}_{c}" for c in cols) + ")"
             idf = f"(CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n{i} + 0.5) / (n{i} + 0.5)) END)"
             parts.append(f"{idf}::DOUBLE * {w}::DOUBLE * 2.2::DOUBLE / ({w}::DOUBLE + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * d / a))")
     return f"""WITH {_REG}, t AS (SELECT id, category, subcategory, date, {toks} FROM r),
@@ -259,9 +271,9 @@ def _points(message: str) -> str:
     return "(" + " + ".join(out) + ")::BIGINT"
 
 
-def _scored(message: str) -> str:
-    return f"""WITH {_REG}, s AS (SELECT id, {_points(message)} AS score, {_day('date')} AS day FROM r), b AS (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, day DESC, id DESC LIMIT 10),
-n AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM b) ORDER BY day DESC, id DESC LIMIT 5), u AS (SELECT * FROM b UNION ALL SELECT * FROM n)
+def _scored(message: str, most: int = 10, fallback: int = 5) -> str:
+    return f"""WITH {_REG}, s AS (SELECT id, {_points(message)} AS score, {_day('date')} AS day FROM r), b AS (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, day DESC, id DESC LIMIT {most}),
+n AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM b) ORDER BY day DESC, id DESC LIMIT {fallback}), u AS (SELECT * FROM b UNION ALL SELECT * FROM n)
 SELECT row_number() OVER (ORDER BY score DESC, day DESC, id DESC)::INT AS rank, id, score, day FROM u"""
 
 
@@ -295,22 +307,10 @@ def _re(p: str) -> str:
     return p.replace("'", "''")
 
 
-def _case(column: str) -> str:
-    out = []
-    for cat, pattern, subs in C.BRANCHES:
-        if column == "category":
-            value = _s(cat)
-        else:
-            value = "CASE " + " ".join(f"WHEN regexp_matches(c, '{_re(p)}') THEN {_s(n)}" for n, p in subs[:-1]) + f" ELSE {_s(subs[-1][0])} END" if len(subs) > 1 else _s(subs[-1][0])
-        out.append(f"WHEN regexp_matches(c, '{_re(pattern)}') THEN {value}")
-    return "CASE " + " ".join(out) + (" ELSE 'administrative' END" if column == "category" else " ELSE 'general' END")
-
-
 def _dates() -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches(c, '{p}') THEN " + " || '-' || ".join(f"regexp_extract(c, '{p}', {i})" for i in at) for p, at in C.DATES) + f" ELSE '{TODAY}' END"
 
 
-_COMBINED = "lower(original_filename || ' ' || right(raw_text, 60))"
 _ENT = "CASE " + " ".join(f"WHEN regexp_matches(low, '(^|[^\\p{{L}}\\p{{N}}]){n}($|[^\\p{{L}}\\p{{N}}])') THEN {{'domain': '{d}', 'slug': '{s}'}}" for d, s, n in C.ENTITIES) + " END"
 _CMP = "regexp_replace(strip_accents(lower({0})), '[^a-z0-9]', '', 'g')"
 _TAX = f"tx AS (SELECT * FROM {_values([(i, *t) for i, t in enumerate(X.TAXONOMY)], 'ord, category, subcategory, aliases')})"
@@ -319,6 +319,7 @@ _WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'),
 _KEYS = f"""wd AS (SELECT *, {_WORDS.format("regexp_replace(original_filename, '\\.[^.]*$', '')")} AS a, {_WORDS.format("title")} AS b FROM dc), ev AS (SELECT *, list_concat(a, b) AS e FROM wd),
 ds AS (SELECT *, list_filter(e, lambda t, i: list_position(e, t) = i) AS u FROM ev),
 kw AS (SELECT * EXCLUDE (a, b, e, u), array_to_string(list_concat(list_filter(u, lambda t: list_contains(a, t) AND list_contains(b, t)), list_filter(u, lambda t: NOT (list_contains(a, t) AND list_contains(b, t))))[1:3], ',') AS keywords FROM ds)"""
+_DAY = r"\b(20\d{2})[-/._]?(\d{2})[-/._]?(\d{2})\b"
 _SEG = "regexp_replace({0}, '^[_.-]+|[_.-]+$', '', 'g')"
 _LOGS = "lg AS (SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, user_id AS filename, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'COMPLETED' ELSE '' END AS status, CASE WHEN value > 50 THEN event_type ELSE '' END AS reason FROM events)"
 _SESSIONS = f"""WITH {_LOGS} SELECT filename, arg_min(stamp, event_id) AS first, arg_max(stamp, event_id) AS last, count(*) AS n, CASE WHEN count(*) FILTER (WHERE status = 'FAILED') > 0 THEN 'FAILED' WHEN count(*) FILTER (WHERE status = 'COMPLETED') > 0 THEN 'COMPLETED' ELSE 'IN_PROGRESS' END AS status,
@@ -327,26 +328,36 @@ coalesce(arg_max(reason, event_id) FILTER (WHERE reason <> ''), '') AS reason FR
 ORACLE_SQL = {
     "fts_bm25_topk": _fts(FACETS),
     "fts_not": _fts(NEGATED),
+    "fts_index_topk": _fts(FACETS),
+    "fts_index_not": _fts(NEGATED),
     "fts_filtered": _fts(FILTERED),
     "fts_relax_ladder": "SELECT min(rung) OVER ()::INT AS rung, rank, id, score FROM (" + " UNION ALL ".join(f"SELECT {i} AS rung, * FROM ({_fts(q)})" for i, q in enumerate(LADDER.ladder())) + ") QUALIFY rung = min(rung) OVER ()",
     "plan_heuristic": f"""WITH {_MSG}, k AS (SELECT id, {_TOKS} AS w FROM m), y AS (SELECT id, list_filter(w, lambda t: NOT regexp_matches(t, '^(19[5-9]\\d|20\\d\\d|2100)$') AND length(t) > 2 AND NOT list_contains({_STOPS}, t)) AS k, list_filter(w, lambda t: regexp_matches(t, '^(19[5-9]\\d|20\\d\\d|2100)$'))[-1] AS y FROM k)
 SELECT id, array_to_string(k, ' ') AS keywords, len(k)::BIGINT AS n_keywords, y || '-01-01' AS date_from, y || '-12-31' AS date_to FROM y""",
     "requested_count": f"""WITH {_MSG}, l AS (SELECT id, lower(message) AS s FROM m), n AS (SELECT id, s, try_cast(regexp_extract(s, '{_COUNT_NOUN}', 1) AS INT) AS n FROM l)
 SELECT id, CASE WHEN n BETWEEN 1 AND 20 THEN n WHEN regexp_matches(s, '\\b(trois|three)\\b') THEN 3 WHEN regexp_matches(s, '\\b(deux|two)\\b') THEN 2 WHEN regexp_matches(s, '\\b(single|last|dernier|dernière)\\b') THEN 1 END::INT AS n FROM n""",
-    "token_scorer": _scored(MESSAGE),
+    "token_scorer": _scored(MESSAGE, 2, 2),
     "token_scorer_fallback": _scored("zzqx"),
+    "prepare_dossier": _scored("quittance housing"),
     "doc_date_parse": f"WITH {_REG} SELECT id, {_day('date')} AS day FROM r",
     "payslip_dedupe": f"""WITH {_REG}, k AS (SELECT id, category, date, CASE WHEN lower(category) <> 'bulletin_salaire' THEN '#' || id WHEN {_day('date')} = 0 THEN '?' || id ELSE strftime(DATE '1970-01-01' + {_day('date')}::INT, '%Y-%m') END AS k FROM r) SELECT id, category, date FROM k QUALIFY id = max(id) OVER (PARTITION BY k)""",
-    "citation_prune": f"""WITH a AS (SELECT * FROM {_values(ANSWERS, 'id, answer, ids')}), c AS (SELECT id, ids, list_filter(ids, lambda x: list_contains(list_transform(regexp_extract_all(answer, '(?i)\\[doc #(\\d+)', 1), lambda y: y::INT), x)) AS k FROM a) SELECT id::BIGINT AS id, unnest(CASE WHEN len(k) >= ceil(len(ids) / 2) THEN k ELSE ids END)::BIGINT AS doc_id FROM c""",
-    "registry_list": f"""WITH {_REG} SELECT id, title, category, {_GENERAL} AS subcategory, date, {_kind('original_filename')} AS file_type, left(raw_text, 800) AS raw_text, 2::BIGINT AS n_tags FROM r WHERE lower(category) = 'invoices' AND (contains(lower(title), 'sfr') OR contains(lower(original_filename), 'sfr') OR contains(lower(summary), 'sfr') OR contains(lower(subcategory), 'sfr') OR contains(lower(tags), 'sfr') OR contains(lower(raw_text), 'sfr') OR contains(lower(original_path), 'sfr'))""",
-    "tool_search": f"""WITH {_REG} SELECT id, title, category, {_GENERAL} AS subcategory, {_kind('original_filename')} AS file_type FROM r WHERE {_kind('original_filename')} = 'PDF' AND (contains(lower(title), 'santé') OR contains(lower(summary), 'santé') OR contains(lower(subcategory), 'santé') OR contains(lower(tags), 'santé') OR contains(lower(raw_text), 'santé')) ORDER BY id DESC LIMIT 20""",
-    "registry_csv_line": f"""WITH {_REG} SELECT id, array_to_string(list_transform([id::VARCHAR, title, category, {_GENERAL}, date, regexp_replace(summary, '\\r?\\n', ' ', 'g'), tags, original_filename], lambda x: '"' || replace(x, '"', '""') || '"'), ',') AS line FROM r""",
+    "citation_prune": f"""WITH a AS (SELECT * FROM {_values(ANSWERS, 'id, answer, ids, asked')}), c AS (SELECT id, ids, asked, list_transform(regexp_extract_all(answer, '(?i)\\[doc #(\\d+)', 1), lambda y: y::INT) AS said FROM a), k AS (SELECT *, list_filter(ids, lambda x: list_contains(said, x)) AS k FROM c)
+SELECT id::BIGINT AS id, unnest(CASE WHEN len(said) > 0 AND len(k) >= CASE WHEN asked IS NULL THEN (len(ids) + 1) // 2 WHEN asked < len(ids) THEN asked ELSE len(ids) END THEN k ELSE ids END)::BIGINT AS doc_id FROM k""",
+    "registry_list": f"""WITH {_REG} SELECT id, checksum, title, registre, date, category, {_GENERAL} AS subcategory, summary, array_to_string(json_transform(tags, '["VARCHAR"]'), ',') AS tags, left(raw_text, 800) AS raw_text, markdown_content, total_amount, vat_amount, siren, iban, expiry_date, contact_name, contact_email, contact_phone, contact_address, contact_website, original_filename, original_path, new_path, status, created_at, updated_at
+FROM r WHERE lower(category) = 'invoices' AND ({_any('sfr', 'original_path new_path title original_filename summary registre subcategory contact_name contact_email tags raw_text')})""",
+    "registry_list_subcategory": f"WITH {_REG} SELECT id, subcategory FROM r WHERE lower(subcategory) = 'sfr'",
+    "registry_lookup": f"WITH {_REG} SELECT id, title, checksum FROM r WHERE id = 7 UNION ALL (SELECT id, title, checksum FROM r WHERE checksum = sha256('') ORDER BY id LIMIT 1)",
+    "tool_search": f"""WITH {_REG}, f AS (SELECT id, title, registre, date, category, subcategory, {_KIND} AS file_type, summary, new_path, status FROM r WHERE upper({_KIND}) = 'PDF' AND ({_any('santé', 'title summary registre tags subcategory raw_text')}) ORDER BY id DESC LIMIT 20) SELECT *, count(*) OVER () AS count FROM f""",
+    "tool_search_tail": f"""WITH {_REG}, f AS (SELECT id, title, registre, date, category, subcategory, {_KIND} AS file_type, summary, new_path, status FROM r WHERE lower(category) = 'bank' AND ({_any('17 b', 'title summary registre tags subcategory raw_text')}) QUALIFY row_number() OVER (ORDER BY id) > 3) SELECT *, count(*) OVER () AS count FROM f""",
+    "registry_csv_line": f"WITH {_REG} SELECT id, {_CSV} AS line FROM r",
+    "registry_csv_filtered": f"WITH {_REG} SELECT id, {_CSV} AS line FROM r WHERE lower(category) = 'bank' AND ({_any('sfr', 'title original_filename summary registre subcategory contact_name contact_email tags')})",
+    "registry_json_line": f"""WITH {_REG} SELECT id, to_json({{'id': id, 'checksum': checksum, 'title': title, 'registre': registre, 'date': date, 'category': category, 'subcategory': {_GENERAL}, 'summary': summary, 'tags': json_transform(tags, '["VARCHAR"]'), 'original_filename': original_filename, 'original_path': original_path, 'new_path': new_path, 'status': status, 'created_at': created_at, 'updated_at': updated_at}})::VARCHAR AS line FROM r""",
+    "insert_defaults": f"""WITH {_REG} SELECT id, {_GENERAL} AS subcategory, {_KIND} AS file_type, CASE WHEN id % 3 = 1 THEN status ELSE 'PENDING' END AS status, CASE WHEN id % 2 = 0 THEN tags ELSE '[]' END AS tags, '[]' AS embedding, original_filename, CASE WHEN id % 5 > 0 THEN title ELSE '' END AS title FROM r""",
     "category_stats": f"""WITH {_REG}, k AS (SELECT translate(category, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS category, translate({_GENERAL}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS subcategory FROM r) SELECT category, subcategory, count(*) AS n FROM k GROUP BY ROLLUP (category, subcategory)""",
     "category_tree_counts": f"""WITH {_REG}, {_TAX}, k AS (SELECT translate(category, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS category, translate({_GENERAL}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS subcategory, count(*) AS n FROM r GROUP BY ALL)
 SELECT category, subcategory, coalesce(k.n, 0) AS n, true AS configured FROM tx LEFT JOIN k USING (category, subcategory) UNION ALL SELECT category, subcategory, n, false FROM k ANTI JOIN tx USING (category, subcategory) WHERE subcategory <> 'general' AND NOT regexp_matches(subcategory, '^\\d{{4}}$')""",
     "checksum_dedup": f"WITH {_REG} SELECT checksum, min(id) AS id, count(*) AS copies FROM r WHERE id % 10 <> 0 AND checksum NOT IN (SELECT checksum FROM r WHERE id % 10 = 0) GROUP BY checksum",
     "blocked_skip": f"WITH {_REG} SELECT original_path, count(*) AS n FROM r WHERE (original_path, id % 50, id % 7) NOT IN (SELECT (original_path, id % 50, id % 7) FROM r WHERE id % 5 = 0) GROUP BY original_path",
-    "blocked_upsert_prune": f"WITH {_REG} SELECT original_path, coalesce(max(id) FILTER (WHERE id % 6 = 0), min(id) FILTER (WHERE id % 4 = 0)) AS size FROM r GROUP BY original_path HAVING count(*) FILTER (WHERE id % 6 = 0 OR id % 4 = 0) > 0 AND count(*) FILTER (WHERE category <> 'bank') > 0",
     "partial_update": f"WITH {_REG} SELECT id, CASE WHEN id % 3 = 0 AND id % 2 = 0 THEN 'new' WHEN id % 3 = 0 AND id % 4 < 3 THEN 'nouveau' ELSE title END AS title, CASE WHEN id % 15 = 0 THEN '' ELSE subcategory END AS subcategory FROM r",
     "collision_names": f"WITH {_REG} SELECT id, title AS name, CASE WHEN id = max(id) OVER (PARTITION BY title) THEN title ELSE title || '_' || id END AS unique_name FROM r",
     "clean_text": f"""WITH {_REG}, t AS (SELECT id, ' ' || chr(13) || chr(10) || chr(10) || chr(10) || replace(raw_text, '. ', '.' || chr(13) || chr(10) || chr(13) || chr(10) || chr(10)) AS t FROM r), u AS (SELECT id, CASE WHEN strlen(regexp_replace(t, '^[\\s\\x{{85}}\\x{{A0}}]+|[\\s\\x{{85}}\\x{{A0}}]+$', '', 'g')) < 10 THEN '' ELSE regexp_replace(regexp_replace(regexp_replace(t, '\\r\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[\\s\\x{{85}}\\x{{A0}}]+|[\\s\\x{{85}}\\x{{A0}}]+$', '', 'g') END AS t FROM t)
@@ -358,20 +369,15 @@ SELECT id, length(t)::BIGINT AS chars, md5(t) AS md5 FROM u""",
 l AS (SELECT *, list_filter(list_transform(regexp_split_to_array(t, '\r?\n'), lambda x: trim(x)), lambda x: x <> '') AS l, len(list_distinct(regexp_extract_all(lower(t), '[a-zà-ÿ]{3,}'))) AS w FROM d),
 c AS (SELECT id, p >= 2 AND t <> '' AND len(l) >= p AND len(list_distinct(l)) <= 2 AND coalesce(list_sum(list_transform(list_distinct(l), lambda x: length(x))), 0) <= 200 AS a, p >= 2 AND t <> '' AND length(t) / p < 100 AND w / p < 10 AS b FROM l)
 SELECT id, a OR b AS thin, CASE WHEN a THEN 'repeated-boilerplate' WHEN b THEN 'low-density' ELSE '' END AS reason FROM c""",
-    "content_recall": f"""WITH {_REG}, d AS (SELECT id, list_distinct(regexp_extract_all(lower(raw_text), '[a-zà-ÿ]{{6,}}|\\d[\\d.,]{{2,}}')) AS o, regexp_extract_all(lower(CASE WHEN id % 2 = 0 THEN left(raw_text, 500) ELSE raw_text END), '[a-zà-ÿ]{{6,}}|\\d[\\d.,]{{2,}}') AS k, list_filter(regexp_split_to_array({_tr('raw_text')}, '{_WS}+'), lambda w: w <> '') AS w, length({_tr('raw_text')}) AS c FROM r),
+    "content_recall": f"""WITH {_REG}, d AS (SELECT id, list_distinct(regexp_extract_all(lower(raw_text), '[a-zà-ÿ]{{6,}}|\\d[\\d.,]{{2,}}')) AS o, regexp_extract_all(lower(CASE WHEN id % 2 = 0 THEN regexp_replace(raw_text, '[a-zà-ÿ]*[eo]n[a-zà-ÿ]*', 'x', 'g') ELSE raw_text END), '[a-zà-ÿ]{{6,}}|\\d[\\d.,]{{2,}}') AS k, list_filter(regexp_split_to_array({_tr('raw_text')}, '{_WS}+'), lambda w: w <> '') AS w, length({_tr('raw_text')}) AS c FROM r),
 e AS (SELECT id, len(o) AS n, len(list_filter(o, lambda t: NOT list_contains(k, t) AND length(t) < 15 AND length(t) - length(replace(t, ',', '')) < 2)) AS m, c / greatest(len(w), 1) >= 25 OR len(list_filter(w, lambda x: length(x) >= 15)) / greatest(len(w), 1) >= 0.35 OR len(list_filter(w, lambda x: regexp_matches(x, '[a-zà-ÿ][A-ZÀ-Ý]'))) / greatest(len(w), 1) >= 0.05 AS f FROM d)
 SELECT id, n::BIGINT AS total, m::BIGINT AS missing, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE round((n - m) / n, 9) END AS recall, n >= 40 AND NOT f AS measurable FROM e""",
     "malformed_pipes": f"WITH {_TAB}, {_MALFORMED} SELECT id, n FROM mf",
     "md_edge_pipes": f"""WITH {_TAB}, t AS (SELECT id, ln, line, {_tr('line')} AS t FROM ln) SELECT id, md5(string_agg(CASE WHEN t <> '' AND NOT regexp_matches(t, '^\\|{_NL}*\\|{_WS}*$') AND NOT regexp_matches(t, '{_STRICT}') AND NOT regexp_matches(t, '^[>#*+\\-]|^\\d+\\.') AND {_PIPES.format('t')} >= 2 THEN (CASE WHEN starts_with(t, '|') THEN '' ELSE '| ' END) || t || (CASE WHEN ends_with(t, '|') THEN '' ELSE ' |' END) ELSE line END, chr(10) ORDER BY ln)) AS md5 FROM t GROUP BY id""",
     "md_table_audit": f"WITH {_AUDIT} SELECT * FROM au",
     "md_table_blocks": f"WITH {_BLOCKS} SELECT * FROM bk",
-    "quality_gate": f"""WITH {_AUDIT}, {_MALFORMED}, {_PROSE % 'tb'}, {_corrupt('tb')}, z AS (SELECT tb.id, list_filter([CASE WHEN tokens >= 50 AND score <= 1 THEN 'noise' END, CASE WHEN co.b IS NOT NULL THEN 'corrupted' END, CASE WHEN mf.n >= 4 THEN 'malformed' END, CASE WHEN au.ragged >= 4 OR (au.data_rows >= 6 AND au.ragged / au.data_rows >= 0.5) THEN 'ragged' END, CASE WHEN au.headerless >= 2 THEN 'headerless' END], lambda x: x IS NOT NULL) AS f FROM tb JOIN ps USING (id) JOIN co USING (id) JOIN mf USING (id) LEFT JOIN au USING (id)) SELECT id, len(f) = 0 AS passed, coalesce(array_to_string(f, ','), '') AS failures FROM z""",
     "scalar_functions": f"""WITH {_REG} SELECT id, {_slug('category')} AS slug, strip_accents(summary) AS folded, {_kind('original_filename')} AS file_type, {_forbid('subcategory')} AS forbidden, {_generic('original_filename')} AS generic, round(1 - levenshtein({_slug('category')}, 'invoice') / greatest(length({_slug('category')}), 7), 9) AS similarity FROM r""",
     "entity_match": f"WITH {_REG}, e AS (SELECT id, lower(raw_text) AS low FROM r), f AS (SELECT id, {_ENT} AS e FROM e) SELECT id, e.domain AS domain, e.slug AS slug FROM f WHERE e IS NOT NULL",
-    "overlay_match": f"WITH {_REG}, h AS (SELECT id, lower(original_filename) AS n, {_COMBINED} AS c FROM r), f AS (SELECT id, CASE "
-    + " ".join(f"WHEN regexp_matches({'n' if scope == 'filename' else 'c'}, '(^|[^\\p{{L}}]){w}($|[^\\p{{L}}])') THEN {{'k': '{w}', 'c': '{c}', 's': '{s}'}}" for w, c, s, scope in C.OVERLAY if s)
-    + " END AS x FROM h) SELECT id, x.k AS keyword, x.c AS category, x.s AS subcategory FROM f WHERE x IS NOT NULL",
-    "rule_classify": f"WITH {_REG}, k AS (SELECT id, {_COMBINED} AS c FROM r), z AS (SELECT id, {_case('category')} AS category, {_case('subcategory')} AS subcategory, {_dates()} AS date, CASE WHEN regexp_matches(c, '{C.PAID}') THEN 'PAID' WHEN regexp_matches(c, '{C.UNPAID}') THEN 'UNPAID' ELSE 'UNKNOWN' END AS payment FROM k) SELECT *, CASE category WHEN 'invoices' THEN 'SUPPLIER' WHEN 'factures_clients' THEN 'CLIENT' ELSE 'NONE' END AS invoice_type FROM z",
     "priority_override": f"""WITH {_REG}, e AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'other' ELSE category END AS category, subcategory, lower(raw_text) AS low FROM r), f AS (SELECT *, {_ENT} AS e FROM e), g AS (SELECT *, coalesce((e.domain = 'banks' AND category <> 'bank') OR (e.domain <> 'banks' AND category IN ('correspondence', 'other', 'personal', '')), false) AS h FROM f)
 SELECT id, CASE WHEN NOT h THEN category WHEN e.domain = 'banks' THEN 'bank' WHEN e.domain IN ('energy', 'telecom') THEN 'invoices' WHEN e.domain = 'gov' THEN 'administrative' ELSE e.domain END AS category, CASE WHEN h THEN e.slug ELSE subcategory END AS subcategory, CASE WHEN h THEN 'override' ELSE 'kept' END AS reason FROM g""",
     "subcategory_conflict": f"""WITH {_TAX}, p AS (SELECT category, subcategory, {_CMP.format('subcategory')} AS s FROM {_values(PROPOSED, 'category, subcategory')}), n AS (SELECT ord, category AS tc, subcategory AS ts, 0 AS al, {_CMP.format('subcategory')} AS t FROM tx UNION ALL SELECT ord, category, subcategory, 1, {_CMP.format('a')} FROM (SELECT ord, category, subcategory, unnest(aliases) AS a FROM tx)),
@@ -382,13 +388,19 @@ SELECT category, subcategory, CASE rk WHEN 0 THEN 'cross-category' WHEN 1 THEN '
     "taxonomy_merge": f"WITH {_TAX}, m AS (SELECT category, CASE WHEN category = 'invoices' AND subcategory = 'bouygues_telecom' THEN 'sfr' ELSE subcategory END AS s, CASE WHEN category = 'invoices' AND subcategory = 'bouygues_telecom' THEN list_append(aliases, subcategory) ELSE aliases END AS a FROM tx) SELECT category, s AS subcategory, coalesce(array_to_string(list_sort(list_distinct(flatten(list(a)))), ','), '') AS aliases FROM m GROUP BY category, s",
     "derive_keywords": f"WITH {_DEC}, {_KEYS} SELECT id::BIGINT AS id, coalesce(keywords, '') AS keywords FROM kw",
     "priority_rules": f"WITH {_DEC}, {_KEYS} SELECT row_number() OVER (ORDER BY id DESC)::INT AS ord, id::BIGINT AS id, category, subcategory, keywords FROM kw WHERE coalesce(enabled, 1) <> 0 AND trim(category) <> '' AND NOT {_forbid('subcategory')} AND coalesce(keywords, '') <> ''",
-    "canonical_path": f"""WITH {_REG}, a AS (SELECT id, title, original_filename, {_SEG.format(_slug('category'))} AS cat, {_SEG.format(_slug("CASE WHEN regexp_matches(subcategory, '^\\d{4}$') OR subcategory = '' THEN 'general' ELSE subcategory END"))} AS sub, {_forbid('subcategory')} AS fb, CASE WHEN regexp_matches(date, '\\b20\\d{{2}}\\b') THEN regexp_extract(date, '\\b(20\\d{{2}})\\b', 1) ELSE '{TODAY[:4]}' END AS y, list_filter(regexp_split_to_array(strip_accents(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}} ]', '', 'g')), ' +'), lambda w: w <> '') AS w FROM r),
-b AS (SELECT *, CASE WHEN fb THEN cat ELSE sub END AS e FROM a)
-SELECT id, 'root/' || cat || '/' || sub || '/' || y || '/' || CASE WHEN trim(title) <> '' AND {_generic('original_filename')} THEN y || '_' || e || '_' || coalesce(array_to_string(list_filter(w, lambda x: NOT contains(e, x)), '_'), '') || lower({_EXTENSION.format('original_filename')}) ELSE original_filename END AS path FROM b""",
+    "canonical_path": f"""WITH {_REG}, a AS (SELECT id, title, original_filename, {_SEG.format(_slug('category'))} AS cat, {_SEG.format(_slug("CASE WHEN regexp_matches(subcategory, '^\\d{4}$') OR subcategory = '' THEN 'general' ELSE subcategory END"))} AS sub, CASE WHEN {_forbid('subcategory')} THEN lower(trim(category)) ELSE lower(trim(subcategory)) END AS e,
+coalesce(nullif(regexp_extract(date, '\\b(20\\d{{2}})\\b', 1), ''), '{TODAY[:4]}') AS y, CASE WHEN regexp_matches(date, '{_DAY}') THEN regexp_extract(date, '{_DAY}', 1) || '-' || regexp_extract(date, '{_DAY}', 2) || '-' || regexp_extract(date, '{_DAY}', 3) ELSE coalesce(nullif(regexp_extract(date, '\\b(20\\d{{2}})\\b', 1), ''), '{TODAY}') END AS day,
+list_filter(regexp_split_to_array(trim(regexp_replace(strip_accents(title), '[^a-zA-Z0-9\\s_-]', '', 'g')), '[/\\\\_\\s-]+'), lambda w: w <> '') AS w FROM r),
+b AS (SELECT *, array_to_string(list_transform(list_filter(regexp_split_to_array(e, '[/\\\\_\\s-]+'), lambda w: w <> ''), lambda w: upper(w[1]) || lower(w[2:])), '') AS en FROM a),
+c AS (SELECT *, list_filter(list_transform(w, lambda x: upper(x[1]) || lower(x[2:])), lambda x: NOT contains(day, lower(x)) AND NOT contains(lower(en), lower(x))) AS k FROM b)
+SELECT id, 'root/' || cat || '/' || sub || '/' || y || '/' || CASE WHEN trim(title) <> '' AND {_generic('original_filename')} THEN day || '_' || en || '_' || left(CASE WHEN len(k) = 0 THEN 'Document' ELSE array_to_string(k, '_') END, 45) || lower(coalesce(nullif({_EXTENSION.format('original_filename')}, ''), '.pdf')) ELSE original_filename END AS path FROM c""",
     "log_sessions": _SESSIONS,
     "stream_log_sessions": _SESSIONS,
     "recent_ring": f"WITH {_LOGS} SELECT event_id, stamp, filename FROM lg ORDER BY event_id DESC LIMIT 1000",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
+    "rate_limit": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts)::BIGINT AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT, event_id) AS i FROM events WHERE event_type = 'error'),
+r AS (SELECT user_id, event_id, t, i FROM e WHERE i = 1 UNION ALL SELECT n.user_id, n.e.event_id, n.e.t, n.e.i FROM (SELECT r.user_id, min({'i': e.i, 'event_id': e.event_id, 't': e.t}) AS e FROM r JOIN e ON e.user_id = r.user_id AND e.i > r.i AND e.t - r.t >= 86400 GROUP BY r.user_id, r.i) n)
+SELECT user_id, event_id FROM r""",
     "a4_fit": f"""WITH i AS (SELECT id::BIGINT AS id, width::DOUBLE AS w, height::DOUBLE AS h FROM {_values(PAGES, 'id, width, height')}), p AS (SELECT *, w > 0 AND h > 0 AS ok, CASE WHEN w > 0 AND h > 0 AND w > h THEN 841.89::DOUBLE ELSE 595.28::DOUBLE END AS pw, CASE WHEN w > 0 AND h > 0 AND w > h THEN 595.28::DOUBLE ELSE 841.89::DOUBLE END AS ph FROM i), s AS (SELECT *, CASE WHEN ok THEN w * least(pw / w, ph / h) ELSE pw END AS dw, CASE WHEN ok THEN h * least(pw / w, ph / h) ELSE ph END AS dh FROM p)
 SELECT id, pw AS page_width, ph AS page_height, round(dw, 6) AS draw_width, round(dh, 6) AS draw_height, round((pw - dw) / 2, 6) AS x, round((ph - dh) / 2, 6) AS y FROM s""",
     "crop_iou": f"""WITH b AS (SELECT * FROM {_values(BOXES, 'id, veto, m, f')}), o AS (SELECT *, greatest(0, least(m.x + m.w, f.x + f.w) - greatest(m.x, f.x)) * greatest(0, least(m.y + m.h, f.y + f.h) - greatest(m.y, f.y)) AS i FROM b), u AS (SELECT *, CASE WHEN m IS NULL OR f IS NULL THEN 0.0::DOUBLE ELSE (i / (m.w * m.h + f.w * f.h - i))::DOUBLE END AS iou FROM o)

@@ -125,11 +125,3 @@ def write_package(entries: DataFrame, out: BinaryIO) -> int:
             stem, ext = os.path.splitext(name)
             archive.writestr(name if taken[name] == 1 else f"{stem}_{taken[name]}{ext}", bytes(row["content"]))
     return sum(taken.values())
-
-
-def json_lines(docs: DataFrame, tags: Column) -> DataFrame:
-    """(id, line): each row as an object of the JSON registry, tags as an array, nothing in the subcategory as general."""
-    text = lambda c: F.coalesce(c, F.lit(""))
-    sub = F.when(text(F.col("subcategory")) == "", "general").otherwise(F.col("subcategory"))
-    fields = [F.col("id"), text(F.col("title")).alias("title"), text(F.col("category")).alias("category"), sub.alias("subcategory"), text(F.col("date")).alias("date"), F.coalesce(F.from_json(tags, "array<string>"), F.array().cast("array<string>")).alias("tags"), text(F.col("original_filename")).alias("original_filename")]
-    return docs.select("id", F.to_json(F.struct(*fields)).alias("line"))

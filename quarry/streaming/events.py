@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.cuts import shared_folder
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -46,11 +50,18 @@ def rate_limited(events: DataFrame, seconds: int = 60) -> DataFrame:
 
 
 def _run(stream: DataFrame, mode: str, name: str) -> DataFrame:
+    """What a stream gives of the files that are there: written to the shared folder batch by batch, in mode complete the last batch alone.
+
+    The folder of this run holds its checkpoint too, so a run that is broken off could go on.
+    """
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.forceDeleteTempCheckpointLocation", "true")
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(folder + ("/rows" if mode == "complete" else f"/rows/batch={number}"))
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows").select(*stream.columns)
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +76,41 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(events.select("user_id", "event_type").dropDuplicates(), "append", "stream_dedup")
 
 
+def stream_unblocked(spark: SparkSession, files: str, blocked: DataFrame) -> DataFrame:
+    """Files (path, mtime_ms, size) that a polled folder of listings brings, but those remembered as blocked with the same time and size.
+
+    The blocked table is read anew for each batch, as a batch of files is.
+    """
+    stream = spark.readStream.schema("path string, mtime_ms double, size long").parquet(files)
+    return _run(stream.join(blocked, ["path", "mtime_ms", "size"], "left_anti"), "append", "stream_unblocked")
+
+
+def session_order(rows: DataFrame) -> DataFrame:
+    """(place, filename) of sessions with first_id: the last one touched first, of equals the one seen first."""
+    return rows.select(F.row_number().over(Window.orderBy(F.desc("last"), "first_id")).alias("place"), "filename")
+
+
+def task_states(actions: DataFrame) -> DataFrame:
+    """(task, seq, running, stage, processed, total, percent) after each action (task, seq, action, total, processed, stage).
+
+    start and reset begin a run; update carries progress, which never goes
+    back, a total above 0 and a stage; finish sets 100 percent and COMPLETED,
+    fail FAILED. Null fields of an update keep what was; other actions change nothing.
+    """
+    order = Window.partitionBy("task").orderBy("seq")
+    rows = actions.withColumn("run", F.sum(F.col("action").isin("start", "reset").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    w = Window.partitionBy("task", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    at = lambda *names: F.col("action").isin(*names)
+    carried = lambda c: F.last(c, ignorenulls=True).over(w)
+    total = F.coalesce(carried(F.when(at("start"), F.greatest(F.lit(0), F.col("total"))).when(at("update") & (F.col("total") > 0), F.col("total"))), F.lit(0))
+    processed = F.coalesce(F.greatest(F.lit(0), F.max(F.when(at("update"), F.col("processed"))).over(w)), F.lit(0))
+    stage = carried(F.when(at("start"), "STARTING").when(at("reset"), "IDLE").when(at("finish"), "COMPLETED").when(at("fail"), "FAILED").when(at("update"), F.col("stage")))
+    rows = rows.withColumns({"_total": total, "_done": processed, "_stage": F.coalesce(stage, F.lit("IDLE")), "_running": F.coalesce(carried(F.when(at("start"), True).when(at("finish", "fail", "reset"), False)), F.lit(False))})
+    share = F.when(F.col("_total") > 0, F.least(F.lit(100), F.floor(F.col("_done") / F.col("_total") * 100 + 0.5))).otherwise(0)
+    percent = F.coalesce(F.last(F.when(at("start", "reset"), 0).when(at("finish"), 100).when(at("update"), share), ignorenulls=True).over(w), F.lit(0))
+    return rows.select("task", "seq", F.col("_running").alias("running"), F.col("_stage").alias("stage"), F.col("_done").cast("long").alias("processed"), F.col("_total").cast("long").alias("total"), percent.cast("long").alias("percent"))
+
+
 #: The sides of an A4 page in points, and the least overlap at which two boxes agree.
 SHORT, LONG, AGREE = 595.28, 841.89, 0.5
 

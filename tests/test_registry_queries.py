@@ -93,6 +93,7 @@ def test_streams_equal_batch(spark):
 
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "id long, title string, original_filename string, original_path string, summary string, category string, subcategory string, tags string, raw_text string, date string, checksum string")
+    docs = docs.withColumns({c: F.lit("") for c in {*R.LISTED, *P.WEIGHTS} - set(docs.columns)})
     assert P.search(docs, P.Query(keywords=("x",))).count() == 0
     assert R.listing(docs, q="x").count() == 0
     assert Q.audit(docs.select("id", F.col("raw_text").alias("text"))).count() == 0
