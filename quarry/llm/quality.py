@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import batches, crc_mod, cut, fresh, quoted, slots, small_batches, text_bytes, word_hashes
 
@@ -214,17 +215,18 @@ def quality_scores(docs: DataFrame, model: AdditiveModel, *keep: str, names: tup
     texts are scored as empty ones. Only text is an input of the score.
     """
     own = "text" in keep and dict(docs.dtypes)["text"] == "string"
-    text = "text" if own else fresh(docs, "_text")[0]
-    source = small_batches(docs).select(*quoted(*keep), *([] if own else [F.col("text").cast("string").alias(text)]))
-    types = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c in keep)
+    plain = [f"c{i}" for i in range(len(keep))]  # a function over batches takes no names with dots or backticks
+    source = small_batches(docs).select(*(c.alias(p) for c, p in zip(quoted(*keep), plain, strict=True)), *([] if own else [F.col("text").cast("string").alias("text")]))
+    text = plain[keep.index("text")] if own else "text"
+    schema = T.StructType([*(source.schema[p] for p in plain), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
             for batch in batches(whole, text, 1 << 20):
                 score = model.score(features(*text_bytes(batch.column(text))))
-                yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {names[0]: score, names[1]: pa.array((score >= 0.5).astype(np.int32))})
+                yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in plain} | {"score": score, "predicted": pa.array((score >= 0.5).astype(np.int32))})
 
-    return source.mapInArrow(run, f"{types}, `{names[0]}` double, `{names[1]}` int")
+    return source.mapInArrow(run, schema).toDF(*keep, *names)
 
 
 def accepted(docs: DataFrame, model: AdditiveModel) -> DataFrame:
