@@ -1,9 +1,10 @@
 """Token counts of a byte-level BPE tokenizer, with huge documents encoded in overlapping chunks.
 
 The library's pre-tokenizer reads a text from left to right and forgets what
-came before each piece; a piece depends on the characters up to one after its
-end. So a boundary of pieces that a chunk reports is a boundary of the whole
-text if the chunk began at one and did not end near it, and a later chunk,
+came before each piece; a piece depends on the characters up to two after its
+end (an apostrophe is one unless "ll", "re" or "ve" follow). So a boundary of
+pieces that a chunk reports is a boundary of the whole text if the chunk began
+at one and goes on for two characters and into another piece, and a later chunk,
 wherever it began, agrees with the whole text from the first such boundary
 that it shares. Chunks are spliced there: tokens never cross pieces. Where
 two chunks share no boundary in their overlap, the overlap is widened.
@@ -85,6 +86,11 @@ class Counter:
             return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         return PIECES.findall(text)
 
+    @staticmethod
+    def _sure(ends: np.ndarray, end: int) -> np.ndarray:
+        """Boundaries that what follows a chunk can't change: the last piece may go on, those before it have seen two characters more."""
+        return ends[:-1][ends[:-1] <= end - 2]
+
     def spliced(self, text: str) -> Iterator[list[str]]:
         """The pieces of a text without special tokens, chunk by chunk."""
         start, n = 0, len(text)
@@ -92,7 +98,7 @@ class Counter:
             end, overlap = start + self.chunk, self.overlap
             left = self.split(text[start:end])
             left_ends = start + np.cumsum([len(p) for p in left])
-            sure = left_ends[:-1]  # the last piece may go on, the one before it has seen its end and a character more
+            sure = self._sure(left_ends, end)
             while True:
                 began = max(start, end - overlap)
                 right = self.split(text[began : min(n, end + overlap)])
@@ -108,7 +114,7 @@ class Counter:
                         yield left
                         return
                     left_ends = start + np.cumsum([len(p) for p in left])
-                    sure = left_ends[:-1]
+                    sure = self._sure(left_ends, end)
                 overlap *= 2
             at = int(shared[-1])
             yield left[: int(np.searchsorted(left_ends, at)) + 1]
