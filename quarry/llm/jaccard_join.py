@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BROADCAST_ROWS, GOLD, U64, batches, cut, drop_cut, fresh, mix, near, slots, small_batches, text_bytes, word_hashes
+from quarry.llm.common import BROADCAST_ROWS, GOLD, U64, batches, cut, drop_cut, fresh, mix, near, packed, slots, small_batches, text_bytes, unpacked, word_hashes
 from quarry.llm.components import connected_components, least_reachable
 
 #: Least dimensions of a point, and shingles for each dimension of a longer document's: with few in a group, the minima of unrelated sets add up to little.
@@ -130,21 +130,6 @@ def folded(points: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.uint8 if out.max() < 256 else np.int32)
 
 
-def packed(values: np.ndarray) -> tuple[int, bytes]:
-    """The least of int64 values, and of each value its distance from it in as few bytes as the largest distance needs."""
-    base = int(values.min())
-    far = values.view(U64) - values.min().view(U64)
-    width = max(1, (int(far.max()).bit_length() + 7) // 8)
-    return base, far.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def unpacked(base: int, data: bytes, n: int) -> np.ndarray:
-    """What packed() was given, n values."""
-    out = np.zeros((n, 8), np.uint8)
-    out[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(n, -1)
-    return (out.view(U64).ravel() + np.array([base], np.int64).view(U64)).view(np.int64)
-
-
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a set of shingles, as two signed 64-bit integers."""
     with np.errstate(over="ignore"):

@@ -13,6 +13,7 @@ score is the sum over its grams.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import _LOWER, GOLD, U64, batches, crc_mod, cut, mix, partitions, slots, small_batches, text_bytes, word_hashes
+from quarry.llm.common import _LOWER, GOLD, U64, batches, crc_mod, cut, mix, packed, partitions, slots, small_batches, text_bytes, unpacked, word_hashes
 
 ORDER = 5
 #: Bytes that UTF-8 never holds: before a text and after it.
@@ -30,6 +31,8 @@ PAD, END = 0xFE, 0xFF
 ALPHABET = 255
 #: The end token of the unigram base; words are hashed to other values but for one chance in 2^64.
 END_TOKEN = U64(0x656E64)
+#: Occurrences of a part of the tables that meet its part in one task, where the tables are too large to be broadcast.
+MEETING = 4_000_000
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -96,6 +99,12 @@ def _blob(kind: int, pid: int, keys: np.ndarray, counts: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "pid": pa.array([pid], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
 
 
+def _part(kind: int, keys: np.ndarray, pids: int) -> np.ndarray:
+    """The part of the tables that knows each key: of grams by the two bytes before the symbol."""
+    with np.errstate(over="ignore"):
+        return (mix((keys >> U64(8) & U64(0xFFFF)) * GOLD if kind == 0 else keys) % U64(pids)).astype(np.int64)
+
+
 def _count(it: Iterator[pa.RecordBatch], pids: int) -> Iterator[pa.RecordBatch]:
     """What a task has seen: kind 0 grams with their training counts, kind 1 training tokens, by the part they go to."""
     seen = Tally(), Tally()
@@ -110,8 +119,7 @@ def _count(it: Iterator[pa.RecordBatch], pids: int) -> Iterator[pa.RecordBatch]:
             seen[1].add(keys, np.ones(len(keys), bool)) if len(keys) else None
     for kind, tally in enumerate(seen):
         keys, counts = tally.merge()
-        with np.errstate(over="ignore"):
-            part = (mix((keys >> U64(8) & U64(0xFFFF)) * GOLD if kind == 0 else keys) % U64(pids)).astype(np.int64)
+        part = _part(kind, keys, pids)
         order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(pids + 1))
         for pid, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
@@ -188,6 +196,13 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, low: np.ndarray, ord
     return out - np.where(open_, np.log10(max(1, left)), 0)
 
 
+def _occurrences(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many occurrences in training each part of the tables stands for."""
+    for batch in it:
+        rows = [(k, p, int(np.frombuffer(c, np.int64).sum())) for k, p, c in zip(*(batch.column(c).to_pylist() for c in ("kind", "pid", "counts")), strict=True)]
+        yield pa.RecordBatch.from_pydict({"kind": pa.array([r[0] for r in rows], pa.int32()), "pid": pa.array([r[1] for r in rows], pa.int32()), "n": pa.array([r[2] for r in rows], pa.int64())})
+
+
 class Table:
     """A lookup of 64-bit keys in an ascending array: a hashed slot names the place to try first, bisection finds the rest."""
 
@@ -242,26 +257,77 @@ def _score(it: Iterator[pa.RecordBatch], tables, n: int, v: int) -> Iterator[pa.
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": np.diff(at), "n_known": _summed((c > 0).astype(np.int64), at), "base_score": _summed(_base(c, n, v), at), "score": score})
 
 
-def _spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's distinct grams (kind 0) and tokens (kind 1) with how often they occur."""
-    row = TaskContext.get().partitionId() << 40
+_DEALT = "kind int, pid int, slot int, base long, rows binary, least long, times binary, keys binary, ids binary, named binary, held binary"
+_SUMS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _deal(it: Iterator[pa.RecordBatch], pids: int, shares: dict[tuple[int, int], int]) -> Iterator[pa.RecordBatch]:
+    """Each row's distinct grams (kind 0) and tokens (kind 1) with how often they occur, packed by the part of the tables that knows them.
+
+    A part that holds very much is dealt over several slots, batch by batch.
+    A row's end token carries its doc_id and whether it is held out.
+    """
+    task = TaskContext.get().partitionId()
+    first, number = task << 40, 0
+    schema = pa.schema([("kind", pa.int32()), ("pid", pa.int32()), ("slot", pa.int32()), ("base", pa.int64()), ("rows", pa.binary()), ("least", pa.int64()), *((c, pa.binary()) for c in ("times", "keys", "ids", "named", "held"))])
     for whole in it:
-        for batch in batches(whole, "text", 1 << 20):
+        for batch in batches(whole, "text", 1 << 21):
             data, offsets = text_bytes(batch.column("text"))
-            ids, held = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
+            ids, held = (batch.column(c) for c in ("doc_id", "held_out"))
+            out = []
             for kind, (keys, at) in enumerate((grams(data, offsets), tokens(data, offsets))):
-                for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                    k, n = np.unique(keys[a:b], return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"row": np.full(len(k), row + i), "doc_id": pa.array([ids[i]] * len(k), pa.int64()), "held_out": pa.array([held[i]] * len(k), pa.bool_()), "kind": pa.array(np.full(len(k), kind, np.int32)), "key": k.view(np.int64), "n": n})
-            row += len(ids)
-
-
-def _unpack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        for kind, keys, values in zip(*(batch.column(c).to_pylist() for c in ("kind", "keys", "counts")), strict=True):
-            k = np.frombuffer(keys, np.int64)
-            value = np.frombuffer(values, np.float64) if kind == 0 else np.frombuffer(values, np.int64).astype(np.float64)
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(k), kind, np.int32)), "key": k, "value": value})
+                owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                order = np.lexsort((owner, keys))
+                keys, owner = keys[order], owner[order]
+                start = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])) if len(keys) else np.empty(0, np.int64)
+                n = np.diff(np.append(start, len(keys)))
+                keys, owner = keys[start], owner[start]
+                part = _part(kind, keys, pids)
+                by = np.argsort(part, kind="stable")
+                ends = np.searchsorted(part[by], np.arange(pids + 1))
+                for pid in np.flatnonzero(np.diff(ends)).tolist():
+                    mine = by[ends[pid] : ends[pid + 1]]
+                    base, rows = packed(owner[mine] + first)
+                    least, times = packed(n[mine])
+                    row = {"kind": kind, "pid": pid, "slot": (number + task) % shares.get((kind, pid), 1), "base": base, "rows": rows, "least": least, "times": times, "keys": keys[mine].tobytes()}
+                    last = mine[keys[mine] == END_TOKEN] if kind else mine[:0]
+                    if len(last):
+                        doc = ids.take(pa.array(owner[last]))
+                        row |= {"ids": doc.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), "named": doc.is_valid().to_numpy(zero_copy_only=False).tobytes(), "held": held.take(pa.array(owner[last])).to_numpy(zero_copy_only=False).tobytes()}
+                    out.append(row)
+            yield pa.RecordBatch.from_pylist(out, schema)
+            first, number = first + batch.num_rows, number + 1
+
+
+def _meet(dealt: pa.Table, known: pa.Table, n: int, v: int) -> pa.Table:
+    """What the grams or tokens of a slot add to the sums of their rows."""
+    names = [c.split()[0] for c in _SUMS.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    schema = pa.schema(list(zip(names, types, strict=True)))
+    if not dealt.num_rows:
+        return schema.empty_table()
+    kind = dealt.column("kind")[0].as_py()
+    table = [np.frombuffer(b"".join(known.column(c).to_pylist()), t) for c, t in (("keys", U64), ("counts", np.float64 if kind == 0 else np.int64))]
+    keys, rows, times, ended = [], [], [], []
+    for r in dealt.to_pylist():
+        k = np.frombuffer(r["keys"], U64)
+        keys.append(k)
+        rows.append(unpacked(r["base"], r["rows"], len(k)))
+        times.append(unpacked(r["least"], r["times"], len(k)))
+        if r["ids"] is not None:
+            ended.append((rows[-1][k == END_TOKEN], np.frombuffer(r["ids"], np.int64), np.frombuffer(r["named"], bool), np.frombuffer(r["held"], bool)))
+    keys, rows, times = map(np.concatenate, (keys, rows, times))
+    value = _find(table[0], [table[1]], keys)[0]
+    own, place = np.unique(rows, return_inverse=True)
+    summed = lambda x: np.bincount(place, x, len(own))
+    whole = lambda x: summed(x).astype(np.int64)
+    none = np.zeros(len(own))
+    sums = [none.astype(np.int64), none.astype(np.int64), none, summed(times * value)] if kind == 0 else [whole(times), whole(times * (value > 0)), summed(times * _base(value, n, v)), none]
+    out = [pa.table([pa.array(own), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.bool_()), *map(pa.array, sums)], schema)]
+    for row, ids, named, held in ended:
+        zero = np.zeros(len(row))
+        out.append(pa.table([pa.array(row), pa.array(ids, mask=~named), pa.array(held), *(pa.array(zero.astype(np.int64)) for _ in range(2)), pa.array(zero), pa.array(zero)], schema))
+    return pa.concat_tables(out)
 
 
 def ppm_scores(docs: DataFrame, hold_out: int = 10, broadcast_entries: int = 6_000_000) -> DataFrame:
@@ -272,8 +338,11 @@ def ppm_scores(docs: DataFrame, hold_out: int = 10, broadcast_entries: int = 6_0
     (A-Z lower-cased, its end included) by the trie. base_score: the sum over
     words and end of log10((c + 0.1) / (N + 0.1 (V + 1))). The tables of grams
     and words are broadcast if each has at most broadcast_entries rows (16
-    bytes a row); larger ones are joined with the grams and words of each
-    document by shuffle, with the same result but for the order of sums.
+    bytes a row). Larger ones stay in their parts: the distinct grams and words
+    of each batch of documents are sent to the part that knows them, packed, a
+    large part over several tasks, and only a sum for each document comes
+    back, with the same result but for the order of sums. For that, rows are
+    known by their place in the input, which must not change when it is read again.
 
     A null text is empty: an end alone. A null doc_id counts as the empty text
     in the choice of rows. Repeated rows are scored each and learnt each. If
@@ -308,10 +377,11 @@ def ppm_scores(docs: DataFrame, hold_out: int = 10, broadcast_entries: int = 6_0
         shared = docs.sparkSession.sparkContext.broadcast(tables)
         out = source.mapInArrow(lambda it: _score(it, shared, n, v), _SCORES)
     else:
-        spread = source.mapInArrow(_spread, "row long, doc_id long, held_out boolean, kind int, key long, n long")
-        met = spread.join(priced.mapInArrow(_unpack, "kind int, key long, value double"), ["kind", "key"], "left")
-        known, word = F.coalesce("value", F.lit(0.0)), F.col("kind") == 1
-        base = F.log10((known + 0.1) / F.lit(n + 0.1 * (v + 1)))
-        of = lambda when, x: F.sum(F.when(when, x).otherwise(0))
-        out = met.groupBy("row", "doc_id", "held_out").agg(of(word, F.col("n")).alias("n_tokens"), of(word & (known > 0), F.col("n")).alias("n_known"), of(word, F.col("n") * base).alias("base_score"), of(~word, F.col("n") * known).alias("score")).drop("row")
+        shares = {(r["kind"], r["pid"]): math.ceil(r["n"] / MEETING) for r in trie.mapInArrow(_occurrences, "kind int, pid int, n long").collect() if r["n"] > MEETING}  # of parts, not of documents
+        slots_of = F.coalesce(*(F.when((F.col("kind") == k) & (F.col("pid") == p), F.lit(n)) for (k, p), n in shares.items()), F.lit(1))
+        dealt = source.mapInArrow(lambda it: _deal(it, pids, shares), _DEALT)
+        known = priced.withColumn("slot", F.explode(F.sequence(F.lit(0), slots_of - 1)))
+        key = ["kind", "pid", "slot"]
+        met = dealt.groupBy(*key).cogroup(known.groupBy(*key)).applyInArrow(lambda a, b: _meet(a, b, n, v), _SUMS)
+        out = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score"))).drop("row")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

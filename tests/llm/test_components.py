@@ -5,8 +5,8 @@ import random
 import numpy as np
 import pytest
 
+from quarry.llm.common import packed, unpacked
 from quarry.llm.components import connected_components
-from quarry.llm.jaccard_join import packed, unpacked
 
 
 def brute(edges):

@@ -88,14 +88,15 @@ def test_token_counts(spark):
     assert token_count.token_counts(frame(spark, []), path).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [3, 17, 1000])
-def test_splicing_any_chunk(chunk):
+@pytest.mark.parametrize(("chunk", "overlap"), [(3, 1), (4, 1), (17, 1), (17, 5), (1000, 1)])
+def test_splicing_any_chunk(chunk, overlap):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    lib, own = Tokenizer.from_file(path), token_count.Counter(path, chunk, 1)
+    lib, own = Tokenizer.from_file(path), token_count.Counter(path, chunk, overlap)
     r = random.Random(chunk)
-    texts = ["".join(r.choice("ab1 \n\t'sé.<|endoftext|>") for _ in range(r.randrange(200))) for _ in range(200)]
+    signs = [*"ab1 \n\t'sé.", "'ll", "'re", "'ve", "'m", "'d", "<|endoftext|>"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randrange(200))) for _ in range(200)] + ["a'll b", "a'll", "x've'll y"]
     assert own.count(texts) == [len(lib.encode(x, add_special_tokens=False).ids) for x in texts]
 
 
@@ -187,9 +188,9 @@ def brute_ppm(train, order):
     return lambda x: sum(price(c[i - order : i], c[i]) for c in [code(x)] for i in range(order, len(c))), price
 
 
-def test_ppm(spark):
+def test_ppm(spark, monkeypatch):
     r = random.Random(5)
-    rows = [(i, "".join(r.choice("abé AB\n") for _ in range(r.randrange(0, 60))), "s") for i in range(60)] + [(100, None, "s"), (101, "", "s"), (3, "ab ab", "s"), (None, "zz", "s")]
+    rows = [(200, "long text " * 3000, "s")] + [(i, "".join(r.choice("abé AB\n") for _ in range(r.randrange(0, 60))), "s") for i in range(60)] + [(100, None, "s"), (101, "", "s"), (3, "ab ab", "s"), (None, "zz", "s")]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     score, price = brute_ppm([x for i, x, _ in rows if not held(i)], ppm.ORDER)
     assert sum(10 ** price([97] * ppm.ORDER, s) for s in [*range(254), 255]) == pytest.approx(1)
@@ -198,7 +199,8 @@ def test_ppm(spark):
     n, v = sum(counts.values()), len(counts)
     base = lambda x: sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words(x))
     want = sorted(((i, held(i), len(words(x)), sum(counts[w] > 0 for w in words(x)), n, round(base(x), 6), round(score(x), 6)) for i, x, _ in rows), key=repr)
-    for limit in (6_000_000, 0):
+    for limit, meeting in ((6_000_000, 1), (0, 4_000_000), (0, 60)):
+        monkeypatch.setattr(ppm, "MEETING", meeting)
         got = sorted(((*tuple(r)[:5], round(r["base_score"], 6), round(r["score"], 6)) for r in ppm.ppm_scores(frame(spark, rows), broadcast_entries=limit).collect()), key=repr)
         assert got == want
     assert ppm.ppm_scores(frame(spark, [])).count() == 0
@@ -261,3 +263,122 @@ def test_pipeline(spark, tmp_path):
             short = one_of_each(before.where("length(text) < 3000"))
             assert {r["doc_id"] for r in short.select("doc_id").collect()} == {i for i, w in want.items() if w[2] == i}
     assert given.count() == spark.read.parquet(f"{tmp_path}/2").count() > 0
+
+
+CLASHES = ("key", "_key", "_source", "_id", "_score", "_predicted", "_text", "at", "whole", "half", "_of", "_copy", "rep", "score", "size", "odd name.x`")
+
+
+def test_stages_keep_other_columns(spark, tmp_path):
+    """Columns of any name and type come out as they went in, with null and repeated ids, null and very long texts; empty tables stay empty."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select("doc_id", "text", "lang", "source", "n_chars")
+    odd = [(None, "no id " * 40, "en", None, 1), (9001, None, None, "s", None), (9002, "", "en", "s", 0), (9003, "very long words here and there. " * 6000, "en", "s", 2), (9003, "very long words here and there. " * 6000, "en", "s", 2)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.concat_ws("|", F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    docs.write.parquet(f"{tmp_path}/in")
+    given = spark.read.parquet(f"{tmp_path}/in")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        stage(spark, given, SF).write.parquet(f"{tmp_path}/{i}")
+        before, given = given, spark.read.parquet(f"{tmp_path}/{i}")
+        assert given.dtypes == before.dtypes
+        known = {tuple(r) for r in before.collect()}
+        rows = [tuple(r) for r in given.collect()]
+        assert rows and set(rows) <= known
+        assert all(x == f"{c}|{'none' if r[0] is None else r[0]}" for r in rows for c, x in zip(CLASHES, r[5:], strict=True))
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+
+
+def plain_split(cells):
+    """The first best place to cut (g, h) pairs in two."""
+    rate = lambda part: sum(g for g, _ in part) ** 2 / (sum(h for _, h in part) + 1.0)
+    return max(range(1, len(cells)), key=lambda i: (rate(cells[:i]) + rate(cells[i:]), -i)) if len(cells) > 1 else 0
+
+
+def plain_leaves(cells):
+    """Additions by cell of a tree of two levels."""
+    out, at = [], plain_split(cells)
+    for part in (cells[:at], cells[at:]):
+        mid = plain_split(part)
+        for leaf in (part[:mid], part[mid:]):
+            out += [sum(g for g, _ in leaf) / (sum(h for _, h in leaf) + 1.0)] * len(leaf)
+    return out
+
+
+def test_fit_against_plain_loops():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(120, 3)).round(2)
+    y = ((x[:, 0] > 0) ^ (r.random(120) < 0.1)).astype(np.int64)
+    model = quality.fit(x, y, bins=6, cycles=4, pairs=0, rate=0.3)
+    edges = [sorted(set(np.quantile(x[:, j], [k / 6 for k in range(1, 6)]))) for j in range(3)]
+    bins = [[sum(v >= e for e in edges[j]) for v in x[:, j]] for j in range(3)]
+    share = (sum(y) + 1) / (len(y) + 2)
+    margin, tables = [math.log(share / (1 - share))] * len(y), [[0.0] * (len(e) + 1) for e in edges]
+    for _ in range(4):
+        for j in range(3):
+            cells = [[0.0, 0.0] for _ in tables[j]]
+            for i, b in enumerate(bins[j]):
+                p = 1 / (1 + math.exp(-margin[i]))
+                cells[b][0] += y[i] - p
+                cells[b][1] += p * (1 - p)
+            step = [0.3 * v for v in plain_leaves(cells)]
+            tables[j] = [a + b for a, b in zip(tables[j], step, strict=True)]
+            margin = [m + step[b] for m, b in zip(margin, bins[j], strict=True)]
+    assert [t.tolist() for t in model.single] == [pytest.approx(t) for t in tables]
+    assert model.score(x).tolist() == pytest.approx([1 / (1 + math.exp(-m)) for m in margin])
+
+
+def test_pairs_against_plain_loops():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    g, h = r.normal(size=(3, 4)), r.random((3, 4))
+    gain, table = quality._pair_tree(g, h, 1.0)
+
+    def turned(g, h):
+        rows = [[sum(a), sum(b)] for a, b in zip(g.tolist(), h.tolist(), strict=True)]
+        out, total, at = np.zeros(g.shape), 0.0, plain_split(rows)
+        for a, b in ((0, at), (at, len(g))):
+            cells = [[sum(g[a:b, k]), sum(h[a:b, k])] for k in range(g.shape[1])]
+            mid = plain_split(cells)
+            rate = lambda part: sum(u for u, _ in part) ** 2 / (sum(v for _, v in part) + 1.0)
+            total += rate(cells[:mid]) + rate(cells[mid:]) - rate(cells)
+            for x, z in ((0, mid), (mid, g.shape[1])):
+                out[a:b, x:z] = g[a:b, x:z].sum() / (h[a:b, x:z].sum() + 1.0)
+        return total, out
+
+    one, two = turned(g, h), turned(g.T, h.T)
+    best = one if one[0] >= two[0] else (two[0], two[1].T)
+    assert gain == pytest.approx(best[0]) and np.allclose(table, best[1])
+    x = r.normal(size=(300, 2))
+    y = ((x[:, 0] > 0) == (x[:, 1] > 0)).astype(np.int64)
+    flat, paired = (quality.fit(x, y, bins=8, cycles=10, pairs=k) for k in (0, 1))
+    right = lambda m: ((m.score(x) >= 0.5) == y).mean()
+    assert right(paired) > 0.9 > right(flat)
+
+
+def test_features_against_plain_text():
+    from quarry.llm.common import text_bytes
+
+    import pyarrow as pa
+
+    texts = ["", None, "One two. Two one!\nÉté  #x# 12\n\nend?", "a a a a b a a a a", "\n \t", "no end", "word. ", "x" * 50 + "\n" + "y z " * 20]
+    got = quality.features(*text_bytes(pa.array(texts)))
+    for row, text in zip(got.tolist(), texts, strict=True):
+        b = (text or "").encode()
+        words = [w.decode().translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(rb"[^\x20\x09-\x0D]+", b)]
+        count, blank, new = len(words), sum(c in b" \t\x0b\x0c\r" for c in b), b.count(b"\n")
+        letters, sign = len(b) - blank - new, lambda c: 0x21 <= c < 0x7F and not chr(c).isalnum() and chr(c) not in ".,;:'\"-"
+        last = lambda i: i == len(b) - 1 or b[i + 1] == 10
+        three = [tuple(words[i : i + 3]) for i in range(count - 2)]
+        want = [
+            math.log1p(len(b)), math.log1p(count), letters / max(count, 1), *(sum(map(f, b)) / max(letters, 1) for f in (lambda c: 65 <= c <= 90, lambda c: 48 <= c <= 57, sign, lambda c: c >= 128)), blank / max(len(b), 1), (new + 1) / max(count, 1),
+            sum(c in b".!?" and last(i) for i, c in enumerate(b)) / (new + 1), len(set(words)) / max(count, 1), max(Counter(words).values(), default=0) / max(count, 1), (len(three) - len(set(three))) / (len(three) - 1) if len(three) > 1 else 0, b.count(b".") / max(count, 1),
+            sum(sign(c) and (last(i) or b[i + 1] in b" \t\x0b\x0c\r") for i, c in enumerate(b)) / max(count, 1),
+        ]
+        assert row == pytest.approx(want), text
