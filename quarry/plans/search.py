@@ -91,6 +91,8 @@ def _count(spaced: Column, phrase: tuple[str, ...]) -> Column:
     return _hits(spaced, " " + "  ".join(phrase) + " ").cast("long")
 
 
+#: Shares of the ids in which a bucket of terms is written.
+SHARES = 8
 #: Columns of the registry that filters read.
 FILTERED = ["category", "subcategory", "date"]
 
@@ -178,14 +180,15 @@ class Index:
 def write_index(docs: DataFrame, path: str, buckets: int = 64) -> None:
     """Writes the postings of the indexed columns, by buckets of terms, and the lengths of the rows.
 
-    One shuffle, by ranges of bucket, term and id, so that a common term is
-    spread over tasks; a search reads the row groups of its terms alone.
+    One shuffle, by bucket and share of the ids, so that a common term is
+    spread over as many tasks; files are sorted by term, and a search reads
+    the row groups of its terms alone.
     """
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
     terms = F.array(*(F.struct(F.lit(i).alias("col"), F.split(F.trim(_spaced(_indexed(c))), "  ").alias("terms")) for i, c in enumerate(WEIGHTS)))
     rows = docs.select("id", *FILTERED, F.filter(terms, lambda x: F.get(x["terms"], F.lit(0)) != "").alias("t"))
     each = rows.select("id", F.explode("t").alias("t")).select("id", "t.col", F.posexplode("t.terms").alias("pos", "term"))
-    each.withColumn("bucket", bucket).repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    each.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SHARES))).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     length = F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + F.size(x["terms"]))
     rows.select("id", *FILTERED, length.alias("d")).write.mode("overwrite").parquet(f"{path}/documents")
     docs.sparkSession.createDataFrame([(list(WEIGHTS), buckets)], "columns array<string>, buckets int").write.mode("overwrite").parquet(f"{path}/layout")
